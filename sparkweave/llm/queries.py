@@ -20,6 +20,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare_with_next, to_text
+
+    out = compare_with_next(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", to_text("fingerprint_words").alias("fingerprint"), to_text("edited_words").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
@@ -28,5 +35,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_fingerprint, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
