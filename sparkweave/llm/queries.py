@@ -20,6 +20,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .perplexity import perplexity_filter
+
+    out = perplexity_filter(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import compare_with_next, to_text
 
@@ -35,5 +42,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_fingerprint, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
