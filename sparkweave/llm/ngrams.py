@@ -63,6 +63,25 @@ class Shape:
             keys = (keys << self.bits) | padded[at - pad + k]
         return keys, sizes
 
+    def word_keys(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys whose context does not reach back over the start of a word.
+
+        A word is a run of non-space characters with the blank after it (one is put after each text).  Returns the keys
+        of all characters, the index of each word's first, and of each text's first word.
+        """
+        codes = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+        cls = self.classes(codes)
+        blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        first = np.r_[True, blank[:-1]]
+        at = np.arange(len(codes))
+        within = np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), self.order - 1)
+        keys = cls.copy()
+        for k in range(1, self.order):
+            keys[k:] |= np.where(within[k:] >= k, cls[:-k] << (self.bits * k), 0)
+        starts = np.flatnonzero(first)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return keys, starts, np.searchsorted(starts, np.r_[0, ends[:-1]])
+
 
 class Counter:
     """Counts of (model, key) in a task; handed on in parts, so that memory is bounded."""

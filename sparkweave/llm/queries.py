@@ -34,6 +34,14 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", to_text("fingerprint_words").alias("fingerprint"), to_text("edited_words").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    remainder = "pmod(crc32(cast(doc_id as string)), 4)"
+    out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), use=f"{remainder} != 2", fold=remainder)
+    return out.select("doc_id", F.coalesce(F.expr(f"{remainder} = 2"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
@@ -42,5 +50,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op6_toxicity, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
