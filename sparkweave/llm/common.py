@@ -67,3 +67,43 @@ def limit_threads() -> None:
     """Native libraries run inside a task that owns one core."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Bijective scrambling of unsigned 64-bit integers (the finalizer of splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+_BASE = 0x5851F42D4C957F2D
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_BLANK = np.zeros(256, bool)
+_BLANK[list(SPACES)] = True
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of ``texts``, and for each word its first and end byte in the
+    texts joined by line feeds; last, the number of words of each text.  Equal words hash alike everywhere."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    blank = _BLANK[data]
+    starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    ends = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    counts = np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(sizes)]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends, counts
+    length = ends - starts
+    with np.errstate(over="ignore"):
+        # sum of byte values times powers of the place in the word
+        place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
+        powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(min(int(length.max()), 64), _BASE, np.uint64))])
+        value = _BYTE[data]
+        deep = place >= len(powers)
+        value *= powers[np.where(deep, 0, place)]
+        if deep.any():  # places of very long words
+            value[deep] = mix(_BYTE[data[deep]] + place[deep].astype(np.uint64) * np.uint64(_BASE))
+        value[blank] = 0
+        sums = np.add.reduceat(value, starts)
+    return mix(sums + length.astype(np.uint64)), starts, ends, counts

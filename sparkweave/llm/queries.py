@@ -42,6 +42,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.expr(f"{remainder} = 2"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingle_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
@@ -50,5 +56,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op6_toxicity, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op6_toxicity, op7_shingle_join, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
