@@ -10,6 +10,7 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -107,3 +108,29 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         value[blank] = 0
         sums = np.add.reduceat(value, starts)
     return mix(sums + length.astype(np.uint64)), starts, ends, counts
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing needs any more, and let Spark drop shuffles of finished steps."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for name in df.inputFiles()[:1]:
+        folder = name.rpartition("/")[0]
+        if folder.startswith(f"{_with_scheme(spark)}/"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    free_shuffles(spark)
+
+
+def _with_scheme(spark: SparkSession) -> str:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    qualified = fs.makeQualified(path).toString()
+    return qualified.replace("file:/", "file:///", 1) if qualified.startswith("file:/") and not qualified.startswith("file://") else qualified
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects the objects that stand for them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -34,6 +34,12 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", to_text("fingerprint_words").alias("fingerprint"), to_text("edited_words").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -56,5 +62,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op6_toxicity, op7_shingle_join, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op4_repeats, op6_toxicity, op7_shingle_join, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
