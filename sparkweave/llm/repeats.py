@@ -140,18 +140,18 @@ def _passages(asked: DataFrame, width: int) -> DataFrame:
         for chunk in _chunks(batches, "windows"):
             ids, passages = [], []
             for (doc_id, text, wanted), h in _each_words(chunk):
-                words = text.split()
+                words, want = text.split(), np.array(wanted, np.int64)
                 have = _rolling(h, width, 2).view(np.int64)
                 places: dict[int, list[int]] = {}
-                for p in np.flatnonzero(np.isin(have, np.array(wanted, np.int64))).tolist():
+                for p in np.flatnonzero(np.isin(have, want)).tolist():
                     places.setdefault(int(have[p]), []).append(p)
                 k = 0
                 while k < len(wanted):  # longest stretch of the source that shows the wanted windows in a row
                     best, at = 1, None
                     for p in places.get(wanted[k], ()):
-                        n = 1
-                        while k + n < len(wanted) and p + n < len(have) and have[p + n] == wanted[k + n]:
-                            n += 1
+                        size = min(len(want) - k, len(have) - p)
+                        same = have[p : p + size] == want[k : k + size]
+                        n = size if same.all() else int(same.argmin())
                         if at is None or n > best:
                             best, at = n, p
                         if k + best == len(wanted):
