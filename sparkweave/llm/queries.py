@@ -54,6 +54,14 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, find, listed
+
+    found = find(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
@@ -62,5 +70,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op4_repeats, op6_toxicity, op7_shingle_join, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op4_repeats, op6_toxicity, op7_shingle_join, op9_pii, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
