@@ -40,6 +40,18 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: domain of a source, and weights of the tree's nodes among their siblings
+DOMAIN = "CASE WHEN try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) < 10 THEN 'web' ELSE 'books' END"
+WEIGHTS = {("web",): 0.6, ("books",): 0.4, ("web", "en"): 3.0, ("books", "en"): 2.0}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").withColumn("domain", F.expr(DOMAIN))
+    return mix(docs, budget=0.8, weights=WEIGHTS, max_epochs=2, seed=1).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -54,6 +66,12 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE, find, listed
 
@@ -70,5 +88,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op4_repeats, op6_toxicity, op7_shingle_join, op9_pii, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op4_repeats, op5_mixing, op6_toxicity, op7_shingle_join, op8_langid, op9_pii, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
