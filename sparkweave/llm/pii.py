@@ -16,8 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .common import doc_text, rows_of
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -343,37 +342,30 @@ def text_edge(c: str) -> bool:
 
 
 def find(docs: DataFrame, table: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
-    """(doc_id, text, base, spans) for every row of (doc_id, text): arrays of (kind, start, end), code points, end exclusive.
+    """The input's columns (``base`` and ``spans`` replaced, ``text`` never null), base and spans for every row of (doc_id, text): arrays of (kind, start, end), code points, end exclusive.
 
     ``base`` are the rules' spans and ``spans`` all, both by kind as in ``KINDS``, then start.  ``table`` replaces the labelled table.
     A null text is empty and has none; rows are judged each for itself; ties between tag sequences go to the tag listed first.
     """
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("base", spans), ("spans", spans)])
     field = Field.fit(table or training_table())
     held = docs.sparkSession.sparkContext.broadcast(field)
     named = lambda found: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(found)]
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[1] for r in rows]
-        base = [base_spans(t) for t in texts]
-        added = added_spans(texts, base, held.value)
-        columns = [r[0] for r in rows], texts, [named(b) for b in base], [named(b + a) for b, a in zip(base, added, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+    plain = docs.drop("base", "spans").withColumn("text", F.coalesce("text", F.lit("")))
+    names = plain.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for row in rows_of(batches, "doc_id", "text"):
-            rows.append(row)
-            size += len(row[1])
-            if size >= 1 << 20:
-                yield solve(rows)
-                rows, size = [], 0
-        if rows:
-            yield solve(rows)
-
-    kind = "array<struct<kind:string,start:long,end:long>>"
-    return doc_text(docs).mapInArrow(each, f"doc_id long, text string, base {kind}, spans {kind}")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(names.index("text")).to_pylist()
+                base = [base_spans(t) for t in texts]
+                both = [b + a for b, a in zip(base, added_spans(texts, base, held.value), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(map(named, base)), spans), pa.array(list(map(named, both)), spans)], names=[*names, "base", "spans"])
+
+    found = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    return plain.mapInArrow(each, T.StructType([*plain.schema.fields, T.StructField("base", found), T.StructField("spans", found)]))
 
 
 def listed(spans: str) -> F.Column:

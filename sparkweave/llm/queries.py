@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -17,7 +17,7 @@ def _vocabulary(name: str) -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, with_ids=False)
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
 
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
     remainder = "pmod(crc32(cast(doc_id as string)), 4)"
-    out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), use=f"{remainder} != 2", fold=remainder)
+    out = score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), use=f"{remainder} != 2", fold=remainder)
     return out.select("doc_id", F.coalesce(F.expr(f"{remainder} = 2"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
@@ -75,7 +75,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE, find, listed
 
-    found = find(table(spark, sf_dir, "documents"))
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
@@ -84,7 +84,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
     path = token_store.new_path(spark)
-    token_store.write(table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"), end_id=1)
+    token_store.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1)
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

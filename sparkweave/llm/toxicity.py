@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, rows_of
 from .ngrams import Counter, HashArrays, Shape, lower
@@ -71,20 +72,22 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = SHAPE) -> HashArray
     return HashArrays.gather(ratio, "m", "key", "v", "n", shape)
 
 
+def measure(texts: list[str], model: HashArrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of texts: mean ratio of the strongest words, and of all characters; log of 1 + the text's length."""
+    keys, words, first = model.shape.word_keys(texts)
+    ratio = np.add.reduceat(model.find(_MODEL, keys, 0.0).astype(np.float64), words)
+    sizes = np.fromiter(map(len, texts), np.float64, len(texts))
+    top = [np.sort(ratio[a:b])[-TOP:].sum() / TOP for a, b in zip(first, np.r_[first[1:], len(ratio)], strict=True)]
+    return np.array(top), np.add.reduceat(ratio, first) / (sizes + 1), np.log1p(sizes)
+
+
 def features(docs: DataFrame, ratios: HashArrays) -> DataFrame:
-    """(doc_id, top, mean, size): mean ratio of the strongest words, and of all characters; log of 1 + the text's length."""
+    """(doc_id, top, mean, size) of every row of docs (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for chunk in _chunks(batches, "doc_id", "text"):
-            texts = [r[1] for r in chunk]
-            keys, words, first = model.shape.word_keys(texts)
-            ratio = np.add.reduceat(model.find(_MODEL, keys, 0.0).astype(np.float64), words)
-            sums = np.add.reduceat(ratio, first)
-            sizes = np.fromiter(map(len, texts), np.float64, len(texts))
-            top = [np.sort(ratio[a:b])[-TOP:].sum() / TOP for a, b in zip(first, np.r_[first[1:], len(ratio)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in chunk], pa.int64()), pa.array(np.array(top)), pa.array(sums / (sizes + 1)), pa.array(np.log1p(sizes))], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in chunk], pa.int64()), *map(pa.array, measure([r[1] for r in chunk], held.value))], schema=_ARROW)
 
     return _texts(docs).mapInArrow(each, _FEATURES)
 
@@ -124,17 +127,41 @@ def calibrate(marked: DataFrame, steps: int = 60, ridge: float = 0.1) -> list[fl
 
 
 def score(docs: DataFrame, labels: DataFrame, use: str = "true", fold: str = "pmod(crc32(cast(doc_id as string)), 4)", folds: tuple[str, str] = ("0, 1", "3"), threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) for every row of docs (doc_id, text).
+    """The rows of docs (doc_id, text and any more columns) with ``score`` and ``predicted`` added (in place of columns of these names).
 
     labels (doc_id, toxic) are used where the SQL condition ``use`` holds: those whose ``fold`` is in folds[0] give the counts,
-    those in folds[1] the regression.  Only the text enters a score.  A null text is empty and scores as such; repeated rows are scored
-    each; labels of unknown documents, null labels and null ids are ignored; without labels of both classes all scores are a small constant.
+    those in folds[1] the regression.  Only the text enters a score.  A null text is scored as the empty one and stays null; repeated rows are scored
+    each; labels of unknown documents, null labels and null ids are ignored; without labels of both classes all scores are one small constant.
     """
     labels = labels.where(F.expr(use)).where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
-    counted, held = (labels.where(F.expr(f"{fold} in ({f})")) for f in folds)
-    some = docs.where(F.expr(f"{use} and {fold} in ({folds[0]})"))  # before the join: fewer texts are shuffled
-    found = materialize(features(docs, train(some, counted)), "toxic-features")
-    *w, bias = calibrate(found.join(held, "doc_id"))
-    terms = " + ".join(f"{x!r}D * {c}" for x, c in zip(w, [f"greatest({low}D, least({high}D, {c}))" for c, (low, high, _) in zip(("top", "mean", "size"), _GRID, strict=True)], strict=True))
-    out = found.select("doc_id", F.expr(f"1D / (1D + exp(-greatest(-30D, least(30D, {terms} + {bias!r}D))))").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    counted, held_out = (labels.where(F.expr(f"{fold} in ({f})")) for f in folds)
+    for_counts, for_fit = (docs.where(F.expr(f"{use} and {fold} in ({f})")) for f in folds)  # before the joins: fewer texts are shuffled
+    ratios = train(for_counts, counted)
+    weights = np.array(calibrate(features(for_fit, ratios).join(held_out, "doc_id")))
+    held = docs.sparkSession.sparkContext.broadcast((ratios, weights))
+    plain = docs.drop("score", "predicted")
+    names = plain.columns
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, w = held.value
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:  # slices of about a million characters
+                texts, size = [], 0
+                low = batch.column(len(names))
+                while at + len(texts) < batch.num_rows and (not texts or size < 1 << 20):
+                    texts.append(low[at + len(texts)].as_py())
+                    size += len(texts[-1])
+                x = [np.clip(v, low_, high) for v, (low_, high, _) in zip(measure(texts, model), _GRID, strict=True)]
+                p = 1 / (1 + np.exp(-np.clip(np.column_stack([*_design(*x), np.ones(len(texts))]) @ w, -30, 30)))
+                part = batch.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(names))], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+                at += len(texts)
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return plain.withColumn("_low", F.lower(F.coalesce("text", F.lit("")))).mapInArrow(each, schema)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, use: str = "true", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with their own columns."""
+    return score(docs, labels, use=use, threshold=threshold).where("predicted = 0").select(*docs.columns)
