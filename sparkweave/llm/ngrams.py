@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -130,19 +132,24 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 
 def discounted(grams: DataFrame, shape: Shape) -> DataFrame:
-    """grams (m, key, n) with ``own`` = max(n - D(n), 0) / n(context) and ``rest``, the context's weight of the lower order."""
+    """grams (m, key, n), a written table, with ``own`` = max(n - D(n), 0) / n(context) and ``rest``, the context's weight of the lower order."""
     part = f"over (partition by m, shiftright(key, {shape.bits}))"
     d = "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"
-    with_d = grams.join(F.broadcast(_discounts(grams)), F.col("m") == F.col("dm")).selectExpr("m", "key", "n", f"{d} as d")
+    known = grams.sparkSession.createDataFrame([tuple(r) for r in _discounts(grams).collect()], "dm long, d1 double, d2 double, d3 double")
+    with_d = grams.join(F.broadcast(known), F.col("m") == F.col("dm")).selectExpr("m", "key", "n", f"{d} as d")
     return with_d.selectExpr("m", "key", "n", f"(n - d) / sum(n) {part} as own", f"sum(d) {part} / sum(n) {part} as rest")
 
 
 def lower(grams: DataFrame, shape: Shape, n: int) -> DataFrame:
-    """(m, key, p): interpolated probabilities of order ``n`` by continuation counts; ``grams``: the distinct (m, key) of order n + 1."""
-    own = discounted(grams.groupBy("m", F.col("key").bitwiseAND(F.lit(shape.mask(n))).alias("key")).agg(F.count(F.lit(1)).alias("n")), shape)
+    """(m, key, p): interpolated probabilities of order ``n`` by continuation counts; ``grams``: the distinct (m, key) of order n + 1.
+
+    The counts of each order are written down, so that the plan grows by one join for each order.
+    """
+    counts = materialize(grams.groupBy("m", F.col("key").bitwiseAND(F.lit(shape.mask(n))).alias("key")).agg(F.count(F.lit(1)).alias("n")), "continuations")
+    own = discounted(counts, shape)
     if n == 1:
         return own.selectExpr("m", "key", f"own + rest / {1 << shape.bits}d as p")
-    down = lower(own.select("m", "key"), shape, n - 1).selectExpr("m", "key as low", "p as q")
+    down = lower(counts.select("m", "key"), shape, n - 1).selectExpr("m", "key as low", "p as q")
     return own.withColumn("low", F.col("key").bitwiseAND(F.lit(shape.mask(n - 1)))).join(down, ["m", "low"]).selectExpr("m", "key", "own + rest * q as p")
 
 
