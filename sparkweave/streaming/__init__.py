@@ -1,0 +1 @@
+"""The query language has no streaming constructs; snapshots of a growing store are made by sparkweave.operators.update."""
