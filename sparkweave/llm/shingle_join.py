@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, hashed_words, materialize, mix, rows_of
 from .graph import components
 
-GROUPS, LEAF, SPARE = 64, 512, 4
+GROUPS, LEAF, SPARE = 1024, 512, 4
 _K = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _SIG = "doc_id long, n long, cls long"
 _SIG_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
@@ -146,7 +146,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         for _, texts in _chunks(batches):
             rows = []
             for s in shingle_sets(texts, words):
-                counts = np.bincount((mix(s) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4")
+                counts = np.bincount((mix(s) >> np.uint64(54)).astype(np.int64), minlength=GROUPS).astype("<u2" if len(s) < 1 << 16 else "<u4")
                 rows.append((class_of(s), len(s), counts.tobytes(), s.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SET_ARROW, strict=True)], schema=_SET_ARROW)
@@ -154,6 +154,14 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(each, "cls long, n long, counts binary, shingles binary")
 
 
+def _points(rows) -> np.ndarray:  # noqa: ANN001
+    """Count vectors, one a row; those of sets of 2**16 and more are stored wider."""
+    rows = list(rows)
+    if all(len(r) == 2 * GROUPS for r in rows):
+        return np.frombuffer(b"".join(rows), "<u2").reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(r, "<u2" if len(r) == 2 * GROUPS else "<u4").astype("<u4") for r in rows])
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) of classes that link: the bound on group counts first, then the whole sets."""
 
@@ -161,8 +169,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             t = pa.table(batch)
             n = [t[c].to_numpy() for c in ("na", "nb")]
-            c = [np.frombuffer(b"".join(t[x].to_pylist()), "<u4").reshape(-1, GROUPS) for x in ("ca", "cb")]
-            ok = (den + num) * np.minimum(c[0], c[1]).sum(axis=1).astype(np.int64) >= num * (n[0] + n[1])
+            c = [_points(t[x].to_pylist()) for x in ("ca", "cb")]
+            ok = (den + num) * np.minimum(c[0], c[1]).sum(axis=1, dtype=np.int64) >= num * (n[0] + n[1])
             yield from t.select(["a", "b"]).filter(pa.array(ok)).to_batches()
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,17 +191,46 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return near.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "sa", "sb").mapInArrow(links, "a long, b long")
 
 
-def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members (key, cls, root) of one block and different components that the bound leaves.
+def _near(c: np.ndarray, n: np.ndarray, root: np.ndarray, cls: np.ndarray, others: slice | tuple, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Pairs of points (c, n, root, cls) with ``others`` (the same arrays, or a slice: later ones) that sizes, components and the bound leave."""
+    for i in range(len(n)):
+        oc, on, oroot, ocls = (x[i + 1 :] for x in (c, n, root, cls)) if isinstance(others, slice) else others
+        open_ = np.flatnonzero((oroot != root[i]) & (num * np.maximum(on, n[i]) <= den * np.minimum(on, n[i])))
+        if len(open_):
+            ok = open_[(den + num) * np.minimum(c[i], oc[open_]).sum(axis=1, dtype=np.int64) >= num * (n[i] + on[open_])]
+            yield from ((min(int(cls[i]), int(x)), max(int(cls[i]), int(x))) for x in ocls[ok])
 
-    The members of a block, ordered by size, are cut into leaves; leaf pairs that their bounding maxima rule out are not formed.
-    """
-    points = members.join(sets.select("cls", "n", "counts"), "cls")
+
+def _small_pairs(points: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs within blocks of one leaf: points (key, cls, root, n, counts) stream in block after block."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        known: set[tuple[int, int]] = set()
+
+        def flush() -> pa.RecordBatch:
+            n, root, cls = (np.array(x) for x in zip(*[(r[3], r[2], r[1]) for r in held], strict=True))
+            found = {p for p in _near(_points([r[4] for r in held]), n, root, cls, slice(None), num, den) if p not in known}
+            known.update(found if len(known) < 1_000_000 else ())
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for row in rows_of(batches, "key", "cls", "root", "n", "counts"):
+            if held and held[0][0] != row[0]:
+                yield flush()
+                held = []
+            held.append(row)
+        if held:
+            yield flush()
+
+    return points.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(search, "a long, b long")
+
+
+def _large_pairs(points: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs within larger blocks: ordered by size they are cut into leaves, and leaf pairs that their bounding maxima rule out are not formed."""
     leaves = materialize(points.withColumn("leaf", F.expr(f"cast(floor((row_number() over (partition by key order by n, cls) - 1) / {LEAF}) as long)")), "leaves")
 
     def bounds(df: pd.DataFrame) -> pd.DataFrame:
-        c = np.frombuffer(b"".join(df["counts"]), "<u4").reshape(-1, GROUPS)
-        return pd.DataFrame([(df["key"].iloc[0], df["leaf"].iloc[0], df["n"].min(), df["n"].max(), c.max(axis=0).astype("<u4").tobytes())], columns=["key", "leaf", "lo", "hi", "box"])
+        return pd.DataFrame([(df["key"].iloc[0], df["leaf"].iloc[0], df["n"].min(), df["n"].max(), _points(df["counts"]).max(axis=0).tobytes())], columns=["key", "leaf", "lo", "hi", "box"])
 
     boxes = leaves.groupBy("key", "leaf").applyInPandas(bounds, "key long, leaf long, lo long, hi long, box binary")
     x, y = (boxes.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("leaf", "lo", "hi", "box")]) for s in "xy")
@@ -201,24 +238,29 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.table(batch)
-            c = [np.frombuffer(b"".join(t[k].to_pylist()), "<u4").reshape(-1, GROUPS) for k in ("boxx", "boxy")]
-            ok = (den + num) * np.minimum(c[0], c[1]).sum(axis=1).astype(np.int64) >= num * (t["lox"].to_numpy() + t["loy"].to_numpy())
+            c = [_points(t[k].to_pylist()) for k in ("boxx", "boxy")]
+            ok = (den + num) * np.minimum(c[0], c[1]).sum(axis=1, dtype=np.int64) >= num * (t["lox"].to_numpy() + t["loy"].to_numpy())
             yield from t.select(["key", "leafx", "leafy"]).filter(pa.array(ok)).to_batches()
 
-    # a block of up to LEAF members is one leaf; more leaves are paired only while sizes and boxes allow links
     matched = x.join(y, "key").where(f"leafx <= leafy and {num} * loy <= {den} * hix").mapInArrow(open_, "key long, leafx long, leafy long")
 
     def search(both: pd.DataFrame) -> pd.DataFrame:
-        left, right = both[both["side"] == "x"], both[both["side"] == "y"]
-        cx, cy = (np.frombuffer(b"".join(d["counts"]), "<u4").reshape(-1, GROUPS).astype(np.int64) for d in (left, right))
-        found = []
-        for i, (n, root, cls) in enumerate(zip(left["n"], left["root"], left["cls"], strict=True)):
-            ok = ((den + num) * np.minimum(cx[i], cy).sum(axis=1) >= num * (n + right["n"].to_numpy())) & (right["root"].to_numpy() != root)
-            found += [(min(cls, c), max(cls, c)) for c in right["cls"].to_numpy()[ok]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        x, y = (tuple([_points(d["counts"]), *[d[c].to_numpy() for c in ("n", "root", "cls")]]) for d in (both[both["side"] == s] for s in "xy"))
+        return pd.DataFrame(sorted(set(_near(*x, y, num, den))), columns=["a", "b"]).astype("int64")
 
     sides = [matched.join(leaves.withColumnRenamed("leaf", f"leaf{s}"), ["key", f"leaf{s}"]).select("key", "leafx", "leafy", "cls", "n", "root", "counts", F.lit(s).alias("side")) for s in "xy"]
-    return sides[0].union(sides[1]).groupBy("key", "leafx", "leafy").applyInPandas(search, "a long, b long").distinct()
+    return sides[0].union(sides[1]).groupBy("key", "leafx", "leafy").applyInPandas(search, "a long, b long")
+
+
+def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of members (key, cls, root) of one block and different components that the bound leaves.
+
+    Blocks of one component have nothing to add, and of blocks with the same members one is enough.
+    """
+    one = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.min("cls").alias("c0"), F.max("cls").alias("c1"))
+    mixed = materialize(one.where("r0 < r1 and size > 2").groupBy("size", "x", "c0", "c1").agg(F.min("key").alias("key")).select("key", "size"), "mixed")
+    points = lambda cond: members.join(mixed.where(cond).select("key"), "key").join(sets.select("cls", "n", "counts"), "cls").select("key", "cls", "root", "n", "counts")
+    return _small_pairs(points(f"size <= {LEAF}"), num, den).union(_large_pairs(points(f"size > {LEAF}"), num, den)).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -242,8 +284,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     star = materialize(_verify(blocks.where("lo < cls").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct(), sets, num, den), "star-links")
     roots = components(star)
     members = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).where("r0 < r1 and size > 2").select("key")
-    rest = materialize(_verify(_tree_pairs(members.join(mixed, "key"), sets, num, den), sets, num, den), "tree-links")
+    rest = materialize(_verify(_tree_pairs(members, sets, num, den), sets, num, den), "tree-links")
     final = components(star.union(rest))
     grouped = sig.join(final, sig["cls"] == final["v"], "left").select("doc_id", "n", F.coalesce("root", "cls").alias("part"))
     ids = grouped.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
