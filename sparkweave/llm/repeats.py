@@ -3,7 +3,7 @@
 A window is ``width`` consecutive words of one document.  A word goes if a window that covers it also
 starts in a document with a smaller doc_id.
 
-1. Anchors: in every window the 4-word sequence with the smallest hash.  Equal windows have equal anchors, and neighbouring
+1. Anchors: in every window the ``ANCHOR``-word sequence with the smallest hash.  Equal windows have equal anchors, and neighbouring
    windows mostly share one, so an anchor stands for several windows.  Anchors of one document only are ruled out.
 2. Windows at the remaining anchors are hashed; those of two or more documents are repeats, and the smallest document that
    has one is its source.
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import doc_text, drop_table, free_shuffles, hashed_words, materialize, mix, rows_of
 
-ANCHOR = 4
+#: words of an anchor: longer ones are more numerous and less often common to documents without a common window
+ANCHOR = 8
 _K = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 _RESULT = "doc_id long, n_words long, n_removed long, whole_sha256 string, kept string"
 _RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("whole_sha256", pa.string()), ("kept", pa.string())])
@@ -45,7 +46,7 @@ def _rolling(h: np.ndarray, n: int, salt: int) -> np.ndarray:
 
 
 def _anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of the words: the place of its anchor; and the hashes of all 4-word sequences."""
+    """For each window of the words: the place of its anchor; and the hashes of all sequences of ``ANCHOR`` words."""
     r = _rolling(h, ANCHOR, 1)
     span = width - ANCHOR + 1
     return np.arange(len(h) - width + 1) + sliding_window_view(r, span).argmin(axis=1), r
@@ -241,9 +242,10 @@ def stripped(docs: DataFrame, width: int = 13, automaton_chars: int = 1 << 21) -
     hits = windows.join(repeats, "window").where("doc_id > source")
     asked = materialize(_requests(hits), "requests")
     free_shuffles(docs.sparkSession)
-    sources = marked.select(F.col("doc_id").alias("source"), "text").dropDuplicates(["source", "text"])
-    passages = _passages(asked.join(sources, "source").select("doc_id", "text", "windows"), width)
-    shards = marked.select("doc_id", "text").join(passages.groupBy("doc_id").agg(F.collect_set("passage").alias("passages")), "doc_id")
+    texts = marked.select("doc_id", "text")  # one exchange serves the sources and the documents that are searched
+    runs = asked.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("asker"), "windows").join(texts, "doc_id")
+    passages = _passages(runs.select(F.col("asker").alias("doc_id"), "text", "windows"), width)
+    shards = texts.join(passages.groupBy("doc_id").agg(F.collect_set("passage").alias("passages")), "doc_id")
     return _strip(shards, automaton_chars)
 
 
