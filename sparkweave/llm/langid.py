@@ -38,6 +38,8 @@ def train(docs: DataFrame, shape: Shape = SHAPE) -> TextModel:
     """Text likelihoods from every row of docs (text, lang) that has a language."""
     docs = docs.where("lang is not null").select(F.lower(F.coalesce("text", F.lit(""))).alias("text"), "lang")
     names = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    if not names:
+        return TextModel([], np.zeros(0, np.uint32), np.zeros((0, 0), np.float32), shape)
     number = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +62,8 @@ def train(docs: DataFrame, shape: Shape = SHAPE) -> TextModel:
     logs = [f"ln(greatest(n{m} - 0.75D, 0D) / (2D + sum(n{m}) over (partition by context)) + 0.1D * q + 1e-7D) as v{m}" for m in range(len(names))]
     table = both.selectExpr("0L as m", "key", *logs).groupBy(slot("m", "key", shape).alias("slot")).agg(*[F.avg(f"v{m}").alias(f"v{m}") for m in range(len(names))]).toArrow()
     order = np.argsort(table["slot"].to_numpy(), kind="stable")
-    values = np.column_stack([table[f"v{m}"].to_numpy() for m in range(len(names))])[order] if names else np.zeros((0, 0))
-    return TextModel(names, table["slot"].to_numpy()[order].astype(np.uint32), (values - values.mean(axis=1, keepdims=True)).astype(np.float32) if names else values, shape)
+    values = np.column_stack([table[f"v{m}"].to_numpy() for m in range(len(names))])[order]
+    return TextModel(names, table["slot"].to_numpy()[order].astype(np.uint32), (values - values.mean(axis=1, keepdims=True)).astype(np.float32), shape)
 
 
 def text_evidence(pages: DataFrame, model: TextModel, key: str, temper: float) -> DataFrame:
