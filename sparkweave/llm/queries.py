@@ -89,4 +89,25 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_perplexity, op3_fingerprint, op4_repeats, op5_mixing, op6_toxicity, op7_shingle_join, op8_langid, op9_pii, op10_token_store)}
-ORACLE_SQL: dict[str, str] = {}
+#: words of a text as the contracts have them
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op4_repeats": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) t(i) WHERE len(w) >= 13),
+        source AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM win JOIN source USING (g), unnest(range(0, 13)) u(j) WHERE doc_id > m),
+        word AS (SELECT doc_id, pos, w[pos] AS x FROM d, unnest(range(1, len(w) + 1)) t(pos)),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY pos) AS k FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op7_shingle_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 1, 2))) t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 90 * (nx.n + ny.n - k)),
+        reach AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT link.y, reach.r FROM reach JOIN link ON link.x = reach.v)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(r) FROM reach WHERE v = d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id)""",
+}
