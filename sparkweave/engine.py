@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .functions import statistics
 from .operators import update
 from .plans import mapping
-from .plans.algebra import Id, Pattern, Select, Term, Text
+from .plans.algebra import Id, Pattern, Select, Term, Text, Var
 from .plans.compiler import Compiler
 from .plans.parser import parse
-from .sources.store import TERMS, Store, clean, new_path
+from .sources.store import TERMS, Store, clean, new_path, predicate_stats
 
 _opened: dict[tuple[str, str], Engine] = {}
 
@@ -19,8 +19,8 @@ _opened: dict[tuple[str, str], Engine] = {}
 class Engine:
     """``triples`` for queries; ``by_o`` the same in the other order, where a store has it."""
 
-    def __init__(self, triples: DataFrame, terms: DataFrame | None = None, predicates: dict[int, str] | None = None, by_o: DataFrame | None = None, counts: dict[int, int] | None = None):
-        self.triples, self.by_o, self._counts = triples, by_o if by_o is not None else triples, counts
+    def __init__(self, triples: DataFrame, terms: DataFrame | None = None, predicates: dict[int, str] | None = None, by_o: DataFrame | None = None, stats: dict[int, tuple[int, int, int]] | None = None):
+        self.triples, self.by_o, self._stats = triples, by_o if by_o is not None else triples, stats
         self.terms = terms if terms is not None else triples.sparkSession.createDataFrame([], TERMS)
         self.predicates = predicates or {}
         self.spark: SparkSession = triples.sparkSession
@@ -32,7 +32,7 @@ class Engine:
 
     @classmethod
     def of_store(cls, store: Store, predicates: dict[int, str] | None = None) -> Engine:
-        return cls(store.triples("by_s"), store.terms(), predicates, store.triples("by_o"), store.predicate_counts())
+        return cls(store.triples("by_s"), store.terms(), predicates, store.triples("by_o"), store.predicate_stats())
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> Engine:
@@ -83,10 +83,13 @@ class Engine:
     def predicate_id(self, name: str) -> int | None:
         return next((p for p, n in self.predicates.items() if n == name), None)
 
+    def stats(self) -> dict[int, tuple[int, int, int]]:
+        if self._stats is None:
+            self._stats = predicate_stats(self.triples)
+        return self._stats
+
     def counts(self) -> dict[int, int]:
-        if self._counts is None:
-            self._counts = {r["p"]: r["n"] for r in statistics.counts(self.triples, "p").collect()}
-        return self._counts
+        return {p: x[0] for p, x in self.stats().items()}
 
     def _resolve(self, term: Term, place: str, pid: int | None) -> int | None:
         assert isinstance(term, Text)
@@ -102,5 +105,14 @@ class Engine:
         found = dict(zip(harder, statistics.matching(self.triples, harder), strict=True)) if harder else {}
         return [found[w] if w in found else counts.get(w[1], 0) if w[1] is not None else sum(counts.values()) for w in wanted]
 
+    def _distinct(self, pattern: Pattern, var: str) -> int:
+        """Distinct values of a variable in its position of the pattern's predicate."""
+        if pattern.p == Var(var):
+            return len(self.stats())
+        place = 1 if pattern.s == Var(var) else 2
+        if isinstance(pattern.p, Id):
+            return self.stats().get(pattern.p.value, (0, 1, 1))[place]
+        return sum(x[place] for x in self.stats().values())
+
     def _compiler(self) -> Compiler:
-        return Compiler(lambda order: self.by_o if order == "by_o" else self.triples, self._resolve, self._selectivity)
+        return Compiler(lambda order: self.by_o if order == "by_o" else self.triples, self._resolve, self._selectivity, self._distinct)

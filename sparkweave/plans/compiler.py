@@ -20,8 +20,8 @@ class Unknown(Exception):
 
 
 class Compiler:
-    def __init__(self, layout: Callable[[str], DataFrame], resolve: Callable[[Term, str, int | None], int | None], count: Callable[[list[Pattern]], list[int]]):
-        self.layout, self.resolve, self.count = layout, resolve, count
+    def __init__(self, layout: Callable[[str], DataFrame], resolve: Callable[[Term, str, int | None], int | None], count: Callable[[list[Pattern]], list[int]], distinct: Callable[[Pattern, str], int] | None = None):
+        self.layout, self.resolve, self.count, self.distinct = layout, resolve, count, distinct
 
     # constants
     def number(self, term: Term, place: str, pid: int | None = None) -> Term:
@@ -80,7 +80,7 @@ class Compiler:
         ordered = patterns
         if len(patterns) > 1:
             costs = dict(zip(patterns, self.count(patterns), strict=True))
-            ordered = planner.order(patterns, costs.__getitem__)
+            ordered = planner.order(patterns, costs.__getitem__, self.distinct)
         gates = [p for p in ordered if not p.variables]
         rest = [p for p in ordered if p.variables]
         out: DataFrame | None = None

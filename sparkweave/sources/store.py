@@ -29,12 +29,18 @@ def clean(triples: DataFrame) -> DataFrame:
     return triples.select(F.col("s").cast("long"), F.col("p").cast("int"), F.col("o").cast("long")).dropna().dropDuplicates()
 
 
+def predicate_stats(triples: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """As many entries as there are predicates."""
+    rows = triples.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("s").alias("s"), F.approx_count_distinct("o").alias("o"))
+    return {r["p"]: (r["n"], r["s"], r["o"]) for r in rows.collect()}
+
+
 class Store:
     """One immutable version: ``by_s`` and ``by_o`` hold the same triples, sorted by (s, o) and (o, s) in each predicate."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._counts: dict[int, int] | None = None
+        self._stats: dict[int, tuple[int, int, int]] | None = None
 
     @classmethod
     def write(cls, triples: DataFrame, path: str, terms: DataFrame | None = None) -> Store:
@@ -43,7 +49,8 @@ class Store:
         once = f"{path}/staged"
         clean(triples).write.parquet(once)
         rows = spark.read.schema(TRIPLES).parquet(once)
-        sizes = {r["p"]: r["n"] for r in rows.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+        stats = predicate_stats(rows)
+        sizes = {p: x[0] for p, x in stats.items()}
         files = {p: -(-n // ROWS_PER_FILE) for p, n in sizes.items()}
         most = max(files.values(), default=1)
         spread = F.create_map(*[F.lit(x) for pair in files.items() for x in pair])[F.col("p")] if most > 1 else F.lit(1)
@@ -52,7 +59,7 @@ class Store:
             dealt.sortWithinPartitions("p", a, b).write.partitionBy("p").parquet(f"{path}/{name}")
         (terms if terms is not None else spark.createDataFrame([], TERMS)).select("id", F.col("p").cast("int"), "lex").write.parquet(f"{path}/terms")
         store = cls(spark, path)
-        store._counts = sizes
+        store._stats = stats
         return store
 
     def triples(self, order: str = "by_s") -> DataFrame:
@@ -61,8 +68,11 @@ class Store:
     def terms(self) -> DataFrame:
         return self.spark.read.schema(TERMS).parquet(f"{self.path}/terms")
 
+    def predicate_stats(self) -> dict[int, tuple[int, int, int]]:
+        """Triples, and about how many distinct subjects and objects, of each predicate."""
+        if self._stats is None:
+            self._stats = predicate_stats(self.triples())
+        return self._stats
+
     def predicate_counts(self) -> dict[int, int]:
-        """Triples of each predicate; as many entries as there are predicates."""
-        if self._counts is None:
-            self._counts = {r["p"]: r["n"] for r in self.triples().groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-        return self._counts
+        return {p: x[0] for p, x in self.predicate_stats().items()}
