@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -131,6 +132,11 @@ def _with_scheme(spark: SparkSession) -> str:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the driver collects the objects that stand for them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files go when the driver collects the objects that stand for them.
+
+    The cleaner works beside the driver; the pauses let it delete them before the next step writes its own.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
