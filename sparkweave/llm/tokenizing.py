@@ -3,7 +3,8 @@
 Both public BPE files cut a text before every run of white space that follows
 a non-space character, so the ids of a text are the ids of its space-delimited
 pieces, in order.  A worker encodes a piece once and then reuses the packed
-bytes; texts with other spacing than single blanks and line feeds are encoded whole.
+bytes; texts with other spacing than single blanks and line feeds are encoded whole,
+and so are those whose line feeds the byte-level file keeps together: three or more in a row, two or more at the end.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ class TextEncoder:
             return self._whole(text)
         if self.spaceless:
             return b"".join(map(self.memo.__getitem__, text.split()))
-        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ":
+        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or "\n\n\n" in text or text[-2:] == "\n\n":
             return self._whole(text)
         pieces = text.replace("\n", " \n").split(" ")
         return self._whole(pieces[0]) + b"".join(map(self.memo.__getitem__, pieces[1:]))
