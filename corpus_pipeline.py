@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 3-word shingles (Jaccard 0.9 or more) the document with the smallest id stays; rows without id stay."""
+    """Of each group linked by 5-word shingles (Jaccard 0.8 or more) the document with the smallest id stays; rows without id stay."""
     docs = docs.select(*COLUMNS)
-    first = shingle_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = shingle_join.jaccard_components(docs, words=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 

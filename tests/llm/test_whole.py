@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sparkweave.llm.tokenizing import TextEncoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -15,3 +16,10 @@ def test_runs_of_line_feeds(path):
     tok, enc = Tokenizer.from_file(path), TextEncoder(path)
     for text in ["a b\n\n\nc d", "a b\n\n", "a\n\nb", "\n\n", "\n\n\n", "a\n\n\n\nb\n", "a b\n\n\n"]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_pipeline_drops_copies_with_scattered_edits(spark):
+    words = [f"w{k}" for k in range(52)]
+    edited = [*words[:26], "other", *words[27:]]  # 5-word shingles 43 of 53, 3-word ones 47 of 53
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "src1", 0) for i, w in enumerate((words, edited, ["else"]))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
