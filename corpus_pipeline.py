@@ -41,16 +41,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 1024 token ids."""
-    return packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), end_id=0, with_ids=False)
+    """Windows of 1024 token ids, the ids with them."""
+    return packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
 STAGES = [("toxicity", drop_toxic), ("jaccard", drop_near_copies), ("pii", redact_personal_data), ("mixing", mix_sources), ("packing", pack)]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the written table of packed sequences, with their ids."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the packed sequences of all stages."""
+    return packing.digests(packed(spark, sf_dir))

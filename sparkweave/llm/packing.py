@@ -9,7 +9,7 @@ The open windows that each partition has left over (a bounded number) are
 finally merged in groups of ``merge_partitions`` partitions, so the padding that remains
 is at most ``max_waste`` ids in a window and one part-filled window in a group.
 
-Only the left-over windows are shuffled; token ids otherwise never leave the task.
+Only the left-over windows are shuffled.
 """
 
 from __future__ import annotations
@@ -140,3 +140,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, seq_len: int = 1024,
     merged = packed.where("left = 1").groupBy((F.col("sequence_id") / merge_partitions).cast("long").alias("g")).applyInPandas(merge, PIECES)
     out = packed.where("left = 0").unionByName(merged).drop("left")
     return out if with_ids else out.drop("ids")
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """The pieces of a written table of ``pack`` without their ids: length and ids_crc32 are taken from the ids that it holds."""
+    return packed.select("doc_id", "start", F.expr(f"cast(octet_length(ids) div {_ID} as bigint)").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

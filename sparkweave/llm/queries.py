@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 
 def vocabulary(name: str) -> str:
@@ -15,9 +15,9 @@ def vocabulary(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
+    from .packing import digests, pack
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, with_ids=False)
+    return digests(materialize(pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0), "sequences"))
 
 
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from sparkweave.llm import queries
 from sparkweave.llm.tokenizing import TextEncoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -23,3 +26,13 @@ def test_pipeline_drops_copies_with_scattered_edits(spark):
     edited = [*words[:26], "other", *words[27:]]  # 5-word shingles 43 of 53, 3-word ones 47 of 53
     docs = spark.createDataFrame([(i, " ".join(w), "en", "src1", 0) for i, w in enumerate((words, edited, ["else"]))], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 2]
+
+
+def test_packed_ids_are_written(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c", "en", "src1", 5), (2, "d " * 3000, "en", "src1", 6000)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for out in (queries.op1_packing(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))):
+        [folder] = {f.rpartition("/")[0] for f in out.inputFiles()}  # the one table from which the digests come
+        held = spark.read.parquet(folder).collect()
+        assert sorted((r.doc_id, r.start, zlib.crc32(r.ids)) for r in held) == sorted((r.doc_id, r.start, r.ids_crc32) for r in out.collect()) and held
+        assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
