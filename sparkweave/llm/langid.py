@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, rows_of
-from .ngrams import Counter, Shape, hash_longs, lower, slot
+from .ngrams import Counter, Shape, lower, slot
 
 SHAPE = Shape(order=4, bits=12, slot_bits=20)
 
@@ -56,6 +56,7 @@ def train(docs: DataFrame, shape: Shape = SHAPE) -> TextModel:
         yield from counter.flush()
 
     grams = materialize(docs.mapInArrow(count, Counter.SCHEMA).groupBy("m", "key").agg(F.sum("n").alias("n")), "language-ngrams")
+    shape = shape.fitted(grams.count())
     shared = lower(grams.select(F.lit(0).cast("long").alias("m"), "key").distinct(), shape, shape.order - 1).selectExpr("key as low", "p as q")
     sums = [F.sum(F.when(F.col("m") == m, F.col("n")).otherwise(0)).alias(f"n{m}") for m in range(len(names))]
     both = grams.groupBy("key").agg(*sums).withColumn("context", F.shiftright("key", shape.bits)).withColumn("low", F.col("key").bitwiseAND(F.lit(shape.mask(shape.order - 1)))).join(shared, "low")
@@ -63,7 +64,7 @@ def train(docs: DataFrame, shape: Shape = SHAPE) -> TextModel:
     table = both.selectExpr("0L as m", "key", *logs).groupBy(slot("m", "key", shape).alias("slot")).agg(*[F.avg(f"v{m}").alias(f"v{m}") for m in range(len(names))]).toArrow()
     order = np.argsort(table["slot"].to_numpy(), kind="stable")
     values = np.column_stack([table[f"v{m}"].to_numpy() for m in range(len(names))])[order]
-    return TextModel(names, table["slot"].to_numpy()[order].astype(np.uint32), (values - values.mean(axis=1, keepdims=True)).astype(np.float32), shape)
+    return TextModel(names, shape.narrow(table["slot"].to_numpy()[order]), (values - values.mean(axis=1, keepdims=True)).astype(np.float32), shape)
 
 
 def text_evidence(pages: DataFrame, model: TextModel, key: str, temper: float) -> DataFrame:
@@ -73,13 +74,12 @@ def text_evidence(pages: DataFrame, model: TextModel, key: str, temper: float) -
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        first = hash_longs(np.array([0]), 42)
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 texts = part.column(1).to_pylist()
                 keys, words, starts = m.shape.word_keys(texts)
-                want = (hash_longs(keys, first) >> np.uint64(64 - m.shape.slot_bits)).astype(np.uint32)
+                want = m.shape.slots(0, keys)
                 at = np.minimum(np.searchsorted(m.slots, want), max(len(m.slots) - 1, 0))
                 hit = m.slots[at] == want if len(m.slots) else np.zeros(len(want), bool)
                 v = m.values[at] * hit[:, None] if len(m.slots) else np.zeros((len(want), len(m.languages)))

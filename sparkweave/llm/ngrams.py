@@ -3,14 +3,15 @@
 A character belongs to one of 2**bits classes; ``order`` class numbers packed into one
 long are an n-gram, so its context (all but the last) and its suffix (all but the
 first) are bit operations.  Counting and smoothing cover the whole corpus and run
-distributed.  What is broadcast is a table of at most 2**slot_bits hash slots for each kind
-of entry, whatever the corpus size: n-grams that share a slot share their (count-weighted) value.
+distributed.  What is broadcast is a sorted table of the hash slots in use.  Their range grows with the distinct n-grams
+(``fitted``), so that at most one slot in 2**SPARE is in use for any corpus: an n-gram that was not counted finds
+nothing but for that share, and the few that share a slot share their (count-weighted) value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: slots outnumber the distinct n-grams by this power of two at least
+SPARE = 12
+
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -43,6 +47,17 @@ class Shape:
     bits: int
     slot_bits: int = 21
 
+    def fitted(self, n: int) -> Shape:
+        """With slots for ``n`` distinct n-grams, ``slot_bits`` at least."""
+        return replace(self, slot_bits=min(63, max(self.slot_bits, n.bit_length() + SPARE)))
+
+    def slots(self, m: int, keys: np.ndarray) -> np.ndarray:
+        """The slots that ``slot`` gives."""
+        return self.narrow(hash_longs(keys, hash_longs(np.array([m]), 42)) >> np.uint64(64 - self.slot_bits))
+
+    def narrow(self, slots: np.ndarray) -> np.ndarray:
+        return slots.astype(np.uint32 if self.slot_bits <= 32 else np.uint64)
+
     def mask(self, n: int) -> int:
         return (1 << (self.bits * n)) - 1
 
@@ -154,7 +169,7 @@ def lower(grams: DataFrame, shape: Shape, n: int) -> DataFrame:
 
 
 def slot(m: str, key: str, shape: Shape) -> Column:
-    return F.expr(f"cast(shiftrightunsigned(xxhash64({m}, {key}), {64 - shape.slot_bits}) as int)")
+    return F.expr(f"shiftrightunsigned(xxhash64({m}, {key}), {64 - shape.slot_bits})")
 
 
 class HashArrays:
@@ -162,17 +177,17 @@ class HashArrays:
 
     def __init__(self, slots: np.ndarray, values: np.ndarray, shape: Shape):
         order = np.argsort(slots, kind="stable")
-        self.slots, self.values, self.shape = slots[order].astype(np.uint32), values[order].astype(np.float32), shape
+        self.slots, self.values, self.shape = shape.narrow(slots[order]), values[order].astype(np.float32), shape
 
     @classmethod
     def gather(cls, entries: DataFrame, m: str, key: str, value: str, weight: str, shape: Shape) -> HashArrays:
-        """Weighted mean of ``value`` in each slot; at most 2**slot_bits rows reach the driver, for any corpus."""
+        """Weighted mean of ``value`` in each slot; one row for each distinct n-gram, of 12 bytes, reaches the driver."""
         rows = entries.groupBy(slot(m, key, shape).alias("slot")).agg((F.sum(F.expr(f"{value} * {weight}")) / F.sum(weight)).alias("v"))
         got = rows.select("slot", F.col("v").cast("float")).toArrow()
         return cls(got.column(0).to_numpy(), got.column(1).to_numpy(), shape)
 
     def find(self, m: int, keys: np.ndarray, missing: float) -> np.ndarray:
-        return self.find_hashed((hash_longs(keys, hash_longs(np.array([m]), 42)) >> np.uint64(64 - self.shape.slot_bits)).astype(np.uint32), missing)
+        return self.find_hashed(self.shape.slots(m, keys), missing)
 
     def find_hashed(self, want: np.ndarray, missing: float) -> np.ndarray:
         if not len(self.slots):

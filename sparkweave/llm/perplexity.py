@@ -110,7 +110,7 @@ def train(docs: DataFrame, shape: Shape = SHAPE) -> HashArrays:
     own = discounted(grams, shape).withColumn("low", F.col("key").bitwiseAND(F.lit(shape.mask(shape.order - 1))))
     down = lower(grams.select("m", "key"), shape, shape.order - 1).selectExpr("m", "key as low", "p as q")
     probs = own.join(down, ["m", "low"]).selectExpr("m", "key", "n", "ln(own + rest * q) as logp")
-    return HashArrays.gather(probs, "m", "key", "logp", "n", shape)
+    return HashArrays.gather(probs, "m", "key", "logp", "n", shape.fitted(grams.count()))
 
 
 def score(docs: DataFrame, model: HashArrays) -> DataFrame:

@@ -69,7 +69,7 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = SHAPE) -> HashArray
     part = "over (partition by context)"
     own = both.selectExpr("key", "low", "n0 + n1 as n", *[f"k{m} / greatest(1, sum(n{m}) {part}) as o{m}" for m in (0, 1)], f"greatest(1e-3D, 1D - sum(k0 + k1) {part} / sum(n0 + n1) {part}) as rest")
     ratio = own.join(shared, "low").selectExpr(f"{_MODEL}L as m", "key", "n", "ln(o1 + rest * q) - ln(o0 + rest * q) as v")
-    return HashArrays.gather(ratio, "m", "key", "v", "n", shape)
+    return HashArrays.gather(ratio, "m", "key", "v", "n", shape.fitted(grams.count()))
 
 
 def measure(texts: list[str], model: HashArrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkweave.llm import queries
+from sparkweave.llm import langid, ngrams, perplexity, queries, toxicity
 from sparkweave.llm.tokenizing import TextEncoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -36,3 +36,23 @@ def test_packed_ids_are_written(spark, tmp_path):
         held = spark.read.parquet(folder).collect()
         assert sorted((r.doc_id, r.start, zlib.crc32(r.ids)) for r in held) == sorted((r.doc_id, r.start, r.ids_crc32) for r in out.collect()) and held
         assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_unseen_ngrams_stay_missing(spark):
+    shape = ngrams.Shape(order=2, bits=8, slot_bits=4)
+    keys = np.arange(3000)
+    entries = spark.range(1000).selectExpr("3L as m", "id as key", "cast(id as double) as v", "1L as n")
+    table = ngrams.HashArrays.gather(entries, "m", "key", "v", "n", shape.fitted(1000))
+    got = table.find(3, keys, -1.0)
+    assert (got[:1000] == keys[:1000]).mean() > 0.99 and (got[1000:] == -1).mean() > 0.99
+    wide = ngrams.HashArrays.gather(entries, "m", "key", "v", "n", shape.fitted(1 << 24))
+    assert wide.slots.dtype == np.uint64 and (wide.find(3, keys[:1000], -1.0) == keys[:1000]).all()
+
+
+def test_models_take_their_slots_from_the_count(spark):
+    texts = [" ".join(chr(a) + chr(b) for a in range(64, 130) for b in range(64, 130))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    small = lambda order: ngrams.Shape(order=order, bits=8, slot_bits=4)
+    for model in (perplexity.train(docs, small(3)), toxicity.train(docs, marks, small(3)), langid.train(docs, small(3))):
+        assert 1 << model.shape.slot_bits >= 1024 * len(model.slots) > 1024 * 1000
