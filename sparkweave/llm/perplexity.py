@@ -1,7 +1,7 @@
 """N-gram perplexity filter (operator 2).
 
 Spark counts the character 5-grams of all documents for each language; modified Kneser-Ney
-(of those that are presentable, see ``presentable``) smoothing turns them into log-probabilities, held in sorted hash arrays for scoring.  A document's
+smoothing turns them into log-probabilities, held in sorted hash arrays for scoring.  A document's
 log-perplexity is its mean negative log-probability.  Each language has a lower and an upper
 band edge around the median, set by the spread (median absolute deviation) on either side
 over the documents that pass the base rules; documents outside are rejected.
@@ -83,16 +83,10 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
 
 
-def presentable(text: str) -> bool:
-    """Does a text teach the model?  It passes the base rules and has at most one symbol in ten words."""
-    n_words, _, n_symbols, _, _, failed = base_rules(text)
-    return not failed and 10 * n_symbols <= n_words
-
-
 def train(docs: DataFrame, shape: Shape = SHAPE) -> HashArrays:
     """Log-probability of the last character of every n-gram of (text, lang), for each language.
 
-    Every document is read; all that are presentable are counted, so junk does not teach the model to expect junk.
+    Every document is counted; what is unlike its language is for the band to tell.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +94,7 @@ def train(docs: DataFrame, shape: Shape = SHAPE) -> HashArrays:
         for chunk in _chunks(batches):
             by: dict[int, list[str]] = {}
             for _, text, lang in chunk:
-                if presentable(text):
-                    by.setdefault(language_key(lang), []).append(text)
+                by.setdefault(language_key(lang), []).append(text)
             for m, texts in by.items():
                 yield from counter.add(m, shape.keys(texts)[0])
         yield from counter.flush()

@@ -56,3 +56,10 @@ def test_models_take_their_slots_from_the_count(spark):
     small = lambda order: ngrams.Shape(order=order, bits=8, slot_bits=4)
     for model in (perplexity.train(docs, small(3)), toxicity.train(docs, marks, small(3)), langid.train(docs, small(3))):
         assert 1 << model.shape.slot_bits >= 1024 * len(model.slots) > 1024 * 1000
+
+
+def test_symbol_rich_documents_are_counted(spark):
+    rows = [(i, f"if (a{i} < b) {{ x = a[{i}] | b; }} // # * $ % & and so on for all of it {i * 7}", "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = perplexity.perplexity_filter(docs).collect()
+    assert all(r.log_ppl < 2 and 10 * r.n_symbols > r.n_words and not r.base_failed for r in out) and sum(r.kept for r in out) > 30
