@@ -1,9 +1,8 @@
 """Personal data (operator 9): fixed rules, and a linear-chain conditional random field over word shapes.
 
-The rules find emails, addresses, cards and phones in whole texts.  The field reads the neighbourhoods of
-words that hold a digit or an at sign (``CONTEXT`` words to either side; where neighbourhoods meet they are one sequence), labels their
-words, and adds what the rules miss: numbers written without the usual signs, spelled-out email addresses, secrets.  It is trained on the
-driver from a small labelled table (``training_table``, or one given), and decoded by Viterbi over padded numpy batches.
+The rules find emails, addresses, cards and phones in whole texts.  The field labels all words of each text (long texts in
+overlapping stretches), and adds what the rules miss: numbers written without the usual signs, spelled-out email addresses, secrets.
+It is trained on the driver from a small labelled table (``training_table``, or one given), and decoded by Viterbi over padded numpy batches.
 """
 
 from __future__ import annotations
@@ -21,6 +20,8 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 CONTEXT = 2
+#: words of a stretch of a long text, and how many of them at either end only give context
+STRETCH, OVERLAP = 256, 16
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -74,7 +75,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def training_table(sentences: int = 300, seed: int = 7) -> list[tuple[list[str], list[str]]]:
-    """Labelled sentences (words, tags) made from a few patterns: tags are O, B-kind and I-kind."""
+    """Labelled sentences (words, tags) made from a few patterns, and half as many without digits: tags are O, B-kind and I-kind."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghijklmnoprstuvwxyzéäöñ") for _ in range(r.randint(2, 11)))
@@ -102,6 +103,18 @@ def training_table(sentences: int = 300, seed: int = 7) -> list[tuple[list[str],
         key = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64])))
         return kind, [r.choice([f'"{key}"', key, f"'{key}'"])]
 
+    def phrase() -> tuple[list[str], list[str]]:
+        """Personal data without a digit, or words that look like it."""
+        if r.random() < 0.4:
+            name = r.choice([f"{word()}.{word()}", word(), f"{word()}_{word()}"])
+            at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)")])
+            last = r.choice(["com", "org", "net"])
+            parts = r.choice([[name, at, f"{word()}.{last}"], [name, at, word(), dot, last]])
+            return parts, ["B-email"] + ["I-email"] * (len(parts) - 1)
+        key = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(8, 24)))
+        name, other_name = r.choice(["token", "key", "secret", "password"]), r.choice([word(), "version", word().capitalize()])
+        return r.choice([([name, "=", r.choice([key, f'"{key}"'])], ["O", "O", "B-secret"]), ([name + r.choice(":="), key], ["O", "B-secret"]), ([other_name, "=", key], ["O"] * 3), ([name, word(), key], ["O"] * 3), ([f"{word()}.{word()}"], ["O"]), ([f"({word()}", f"{word()})"], ["O"] * 2), ([f"({word()})"], ["O"]), ([f"[{word()}]"], ["O"]), ([f"{word()}_{word()}"], ["O"]), ([f"www.{word()}.org"], ["O"]), ([r.choice(["=", "-", "|", "#", "&"])], ["O"]), ([key], ["O"])])
+
     def other() -> list[str]:
         return r.choice([["version", f"{r.randint(1, 9)}.{r.randint(0, 9)}."], [f"{r.randint(1900, 2030)}"], [f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}"], [digits(r.randint(1, 5))], [f"{r.randint(1, 99)}%"], [f"${digits(3)}.{digits(2)}"], ["Version", "2.0,"], ["CC", "BY-NC", "4.0."], [f"{digits(2)}:{digits(2)}"], [word() + digits(1)], ["@"], [f"{digits(1)},{digits(3)}"], [digits(r.randint(6, 12))], [f"@{word()}"], [f"{digits(4)}-{digits(2)}-{digits(2)}"], [f"{digits(1)}{r.choice(['st', 'nd', 'th'])}"], [f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}"]])
 
@@ -129,13 +142,22 @@ def training_table(sentences: int = 300, seed: int = 7) -> list[tuple[list[str],
             words.append(plain())
             tags.append("O")
         out.append((words, tags))
+    for _ in range(sentences // 2):
+        words, tags = [], []
+        for _ in range(r.randint(1, 3)):
+            some = [plain() for _ in range(r.randint(0, 3))]
+            extra, marks = phrase()
+            words += some + extra
+            tags += ["O"] * len(some) + marks
+        some = [plain() for _ in range(r.randint(0, 2))]
+        out.append((words + some, tags + ["O"] * len(some)))
     return out
 
 
 # --- the field
 
 TAGS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
-_CUES = frozenset(("token", "key", "secret", "password", "version", "=", "[at]", "(at)"))
+_CUES = frozenset(("token", "key", "secret", "password", "version", "=", "[at]", "(at)", "[dot]", "(dot)", *(f"{n}{c}" for n in ("token", "key", "secret", "password") for c in ":=")))
 _EDGE = ".,;:!?\"'*#%&$|<>"
 
 
@@ -163,13 +185,23 @@ def _word_features(word: str) -> list[str]:
     return f
 
 
+def _kind(word: str) -> tuple:
+    """Equal for words of equal features; quick for letters only."""
+    core = word.strip(_EDGE)
+    if core.isalpha() and word.lower() not in _CUES:
+        shape = "x" if core.islower() else "Xx" if core[0].isupper() and core[1:].islower() else None
+        if shape:
+            return shape, min(len(core), 42) // 2
+    return tuple(_word_features(word))
+
+
 def features(words: list[str]) -> list[list[str]]:
     """Feature names of each word of a sequence: its own, and its neighbours' shapes and cues."""
     own = [_word_features(w) for w in words]
     out = []
     for i, f in enumerate(own):
         more = ["bias"]
-        for step in (-2, -1, 1, 2):
+        for step in _STEPS:
             if 0 <= i + step < len(words):
                 o = own[i + step]
                 more += [f"{step}{o[0]}", f"{step}{o[3]}"] + [f"{step}{x}" for x in o if x[:2] == "w="]
@@ -179,6 +211,9 @@ def features(words: list[str]) -> list[list[str]]:
     return out
 
 
+_STEPS = (-2, -1, 1, 2)
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
@@ -238,31 +273,79 @@ class Field:
                 w += rate * g / np.sqrt(q)
         return cls(names, emit, move, start)
 
-    def decode(self, sequences: list[list[str]], batch: int = 256) -> list[list[int]]:
-        """Best tags of each sequence by Viterbi, ``batch`` padded sequences of like length at a time."""
-        out: list[list[int]] = [[] for _ in sequences]
-        order = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
-        s, at = len(TAGS), 0
-        while at < len(order):
-            longest = len(sequences[order[min(at + batch, len(order)) - 1]])
-            some = order[at : at + max(1, min(batch, 2_000_000 // (longest * s)))]
-            at += len(some)
-            longest = len(sequences[some[-1]])
-            score, size = np.zeros((len(some), longest, s)), np.array([len(sequences[k]) for k in some])
-            for i, k in enumerate(some):
-                for t, names in enumerate(features(sequences[k])):
-                    ids = [self.names[f] for f in names if f in self.names]
-                    score[i, t] = self.emit[ids].sum(axis=0)
-            best, came = self.start + score[:, 0], np.zeros((len(some), longest, s), np.int8)
-            for t in range(1, longest):
-                paths = best[:, :, None] + self.move
-                came[:, t] = paths.argmax(axis=1)
-                best = np.where((t < size)[:, None], paths.max(axis=1) + score[:, t], best)
-            for i, k in enumerate(some):
-                tags = [int(best[i].argmax())]
-                for t in range(size[i] - 1, 0, -1):
-                    tags.append(int(came[i, t, tags[-1]]))
-                out[k] = tags[::-1]
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Place of each word in ``self.known``: the scores that it gives to itself and to the words around it."""
+        memo = self.__dict__.setdefault("memo", {})
+        if len(memo) > 200_000:
+            memo.clear()
+        fresh = {w for w in words if w not in memo}
+        if not memo:
+            memo[None], self.rows = 0, {}
+            self.known = np.array([[np.zeros(len(TAGS))] + [self._sum([f"{k}edge"]) for k in _STEPS]])
+        new = []
+        for w in fresh:
+            kind = _kind(w)
+            if kind not in self.rows:
+                own, around = self._parts(w)
+                self.rows[kind] = len(self.rows) + 1
+                new.append([self._sum(own)] + [self._sum(g) for g in around])
+            memo[w] = self.rows[kind]
+        if new:
+            self.known = np.concatenate([self.known, np.array(new)])
+        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+
+    @staticmethod
+    def _parts(word: str) -> tuple[list[str], list[list[str]]]:
+        own = _word_features(word)
+        return ["bias", *own], [[f"{k}{own[0]}", f"{k}{own[3]}"] + [f"{k}{x}" for x in own if x[:2] == "w="] for k in _STEPS]
+
+    def _sum(self, names: list[str]) -> np.ndarray:
+        return self.emit[[self.names[f] for f in names if f in self.names]].sum(axis=0)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "rows", "known")}
+
+    def decode(self, sequences: list[list[str]], batch: int = 512) -> list[list[int]]:
+        """Best tags of each sequence by Viterbi, ``batch`` padded stretches of like length at a time.
+
+        A sequence of more than STRETCH words is decoded in stretches, of which OVERLAP words at each inner end are left to the neighbour.
+        """
+        sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
+        ids = self._rows([w for s in sequences for w in s])
+        tags, ends = np.zeros(len(ids), np.int8), np.cumsum(sizes)
+        step = STRETCH - 2 * OVERLAP
+        parts = [(lo, min(lo + STRETCH, e), s, e) for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True) for lo in range(s, max(s + 1, e - 2 * OVERLAP), step) if lo < e]
+        parts.sort(key=lambda p: p[1] - p[0])
+        for at in range(0, len(parts), batch):
+            some = parts[at : at + batch]
+            lo, hi, first, last = np.array(some).T
+            best = self._viterbi(ids, lo, hi, first, last)
+            place = np.arange(best.shape[1])
+            from_, to = np.where(lo > first, OVERLAP, 0), np.where(hi < last, hi - lo - OVERLAP, hi - lo)
+            keep = (place >= from_[:, None]) & (place < to[:, None])
+            tags[(lo[:, None] + place)[keep]] = best[keep]
+        flat = tags.tolist()
+        return [flat[e - n : e] for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+
+    def _viterbi(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        size, s = hi - lo, len(TAGS)
+        place = lo[:, None] + np.arange(size.max())
+        word = lambda at: np.where((at >= first[:, None]) & (at < last[:, None]), ids[np.clip(at, 0, len(ids) - 1)], 0)
+        score = self.known[word(place), 0]
+        for k, step in enumerate(_STEPS):
+            score += self.known[word(place + step), k + 1]
+        best, came, move = self.start + score[:, 0], np.zeros((len(lo), size.max(), s), np.int8), np.ascontiguousarray(self.move.T)
+        for t in range(1, size.max()):
+            paths = best[:, None, :] + move
+            back = paths.argmax(axis=2)
+            live = (t < size)[:, None]
+            came[:, t] = np.where(live, back, np.arange(s))
+            best = np.where(live, np.take_along_axis(paths, back[..., None], 2)[..., 0] + score[:, t], best)
+        out, rows = np.zeros(came.shape[:2], np.int8), np.arange(len(lo))
+        tag = best.argmax(axis=1)
+        for t in range(size.max() - 1, -1, -1):
+            out[:, t] = tag
+            tag = came[rows, t, tag]
         return out
 
 
@@ -309,13 +392,11 @@ def _before(text: str, at: int) -> list[tuple[int, int]]:
 
 def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[list[Span]]:
     """The field's spans in each text that do not overlap a rule's."""
-    where, sequences = [], []
-    for k, text in enumerate(texts):
-        for spans in neighbourhoods(text):
-            where.append((k, spans))
-            sequences.append([text[a:b] for a, b in spans])
     out: list[list[Span]] = [[] for _ in texts]
-    for (k, spans), tags in zip(where, field.decode(sequences), strict=True):
+    for k, (text, tags) in enumerate(zip(texts, field.decode([_WORD.findall(t) for t in texts]), strict=True)):
+        if not any(tags):
+            continue
+        spans = [m.span() for m in _WORD.finditer(text)]
         found: list[list[int]] = []
         for (a, b), t in zip(spans, tags, strict=True):
             kind = (t - 1) // 2

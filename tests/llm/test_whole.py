@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkweave.llm import langid, ngrams, perplexity, queries, toxicity
+from sparkweave.llm import langid, ngrams, perplexity, pii, queries, toxicity
 from sparkweave.llm.tokenizing import TextEncoder
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -63,3 +63,20 @@ def test_symbol_rich_documents_are_counted(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     out = perplexity.perplexity_filter(docs).collect()
     assert all(r.log_ppl < 2 and 10 * r.n_symbols > r.n_words and not r.base_failed for r in out) and sum(r.kept for r in out) > 30
+
+
+def test_personal_data_without_digits(spark):
+    texts = ["write to jane.doe [at] example.org today", "ask jane (at) mail (dot) org about it", "then password = correcthorsebattery was set", "the version = stablerelease was out"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.t for r in pii.find(docs).select("doc_id", pii.redact("text", "spans").alias("t")).collect()}
+    assert got == {0: "write to <EMAIL> today", 1: "ask <EMAIL> about it", 2: "then password = <SECRET> was set", 3: texts[3]}
+
+
+def test_stretches_and_memo_change_nothing(monkeypatch):
+    field = pii.Field.fit(pii.training_table())
+    words = [w for s, _ in pii.training_table(400, seed=3) for w in s] + ["É", "ab", "Ab", "ABC", "Token", "key:", "中A", "..."]
+    split = field.decode([words])
+    monkeypatch.setattr(pii, "STRETCH", 1 << 20)
+    monkeypatch.setattr(pii, "_kind", lambda w: tuple(pii._word_features(w)))
+    plain = pii.Field(field.names, field.emit, field.move, field.start).decode([words])
+    assert len(words) > 2000 and split == plain
