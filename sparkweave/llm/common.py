@@ -10,9 +10,7 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
-import gc
 import os
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -21,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
 #: ASCII white space that separates words; every other code point belongs to a word.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -29,10 +26,11 @@ SPACES = b" \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session has none (single-machine tests) a folder under
-    /tmp/checkpoints is used.
+    Only a session on one machine (tests) may lack it and then uses a folder under /tmp/checkpoints; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/") if base else f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
@@ -41,11 +39,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts lineage so that a lost executor costs a re-read of shared files, not a
     recomputation, and keeps several consumers from running a Python stage twice.
+    The shuffle files of the step are deleted once the table is there: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext._jsc.sc()
+    first = sc.newShuffleId()
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if sc.cleaner().isDefined():
+        for shuffle in range(first + 1, sc.newShuffleId()):
+            sc.cleaner().get().doCleanupShuffle(shuffle, False)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing needs any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.table_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,34 +122,3 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         value[blank] = 0
         sums = np.add.reduceat(value, starts)
     return mix(sums + length.astype(np.uint64)), starts, ends, counts
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and nothing needs any more, and let Spark drop shuffles of finished steps."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = name.rpartition("/")[0]
-        if folder.startswith(f"{_with_scheme(spark)}/"):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    free_shuffles(spark)
-
-
-def _with_scheme(spark: SparkSession) -> str:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    qualified = fs.makeQualified(path).toString()
-    return qualified.replace("file:/", "file:///", 1) if qualified.startswith("file:/") and not qualified.startswith("file://") else qualified
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the driver collects the objects that stand for them.
-
-    The cleaner works beside the driver; the pauses let it delete them before the next step writes its own.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)

@@ -3,41 +3,58 @@
 A window is ``width`` consecutive words of one document.  A word goes if a window that covers it also
 starts in a document with a smaller doc_id.
 
+Documents are dealt into chunks of about ``CHUNK`` bytes, in input order; all counts are combined within a chunk before they are shuffled, so
+a passage that every document holds costs one row a chunk.
+
 1. Anchors: in every window the ``ANCHOR``-word sequence with the smallest hash.  Equal windows have equal anchors, and neighbouring
    windows mostly share one, so an anchor stands for several windows.  Anchors of one document only are ruled out.
-2. Windows at the remaining anchors are hashed; those of two or more documents are repeats, and the smallest document that
-   has one is its source.
-3. Runs of consecutive repeats of a document with one source are passages.  The source's own words are cut out for each.
-4. The passages are compiled into Aho-Corasick automata, one for each shard of documents that they were found for, and every such document
-   is streamed through its shard's automaton.  Only words in passages located there, word for word, are removed.
-
-Hashes (64 bits) only choose where to look; what is removed has been matched as text.
+2. Windows at the remaining anchors are hashed, with the words before and after them.  Those of two or more documents recur, and the smallest
+   document that has one is its source.
+3. Confirmed passages: recurring windows that follow one another in the source are one passage as long as neither is ever seen without the
+   other (one word after the first everywhere, one word before the second), so each occurrence of a window of a passage lies in
+   an occurrence of the whole passage.  Passages are cut out of their sources' texts.
+4. Each chunk is a shard: the passages that may occur in it (it holds a window of theirs) are compiled into one Aho-Corasick automaton, and every document of the chunk, whatever is
+   known of it, is streamed through.  An occurrence in a document with a larger id than the passage's source goes.
+
+Hashes choose what is compiled where; what is removed has been located as text.  64-bit hashes stand for anchors and windows, 32-bit ones for the words beside a window.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, drop_table, free_shuffles, hashed_words, materialize, mix, rows_of
+from .common import drop_table, hashed_words, materialize, mix
 
 #: words of an anchor: longer ones are more numerous and less often common to documents without a common window
 ANCHOR = 8
+#: bytes of text in a chunk (a longer document is a chunk): more passages and anchors are common to its documents, and it is held in memory by a task
+CHUNK = 1 << 22
 _K = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
-_RESULT = "doc_id long, n_words long, n_removed long, whole_sha256 string, kept string"
-_RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("whole_sha256", pa.string()), ("kept", pa.string())])
+_LOW = np.int64(0xFFFFFFFF)
+_DOCS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
+_ANCHORS = pa.schema([("anchor", pa.int64()), ("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+_WINDOWS = pa.schema([("window", pa.int64()), ("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("same", pa.int64()), ("varied", pa.int64())])
+_PASSAGES = pa.schema([("window", pa.int64()), ("source", pa.int64()), ("passage", pa.binary())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+_SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
 
 
 def _rolling(h: np.ndarray, n: int, salt: int) -> np.ndarray:
     """Hashes of all sequences of n words."""
-    size = len(h) - n + 1
+    size = max(len(h) - n + 1, 0)
     total = np.zeros(size, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
@@ -45,208 +62,218 @@ def _rolling(h: np.ndarray, n: int, salt: int) -> np.ndarray:
         return mix(total + np.uint64(salt))
 
 
-def _anchors(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of the words: the place of its anchor; and the hashes of all sequences of ``ANCHOR`` words."""
-    r = _rolling(h, ANCHOR, 1)
-    span = width - ANCHOR + 1
-    return np.arange(len(h) - width + 1) + sliding_window_view(r, span).argmin(axis=1), r
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], *more: str, size: int = 1 << 20) -> Iterator[list[tuple]]:
-    held, chars = [], 0
-    for row in rows_of(batches, "doc_id", "text", *more):
-        held.append((row[0], row[1].encode("utf-8", "surrogatepass"), *row[2:]))
-        chars += len(held[-1][1])
-        if chars >= size:
-            yield held
-            held, chars = [], 0
-    if held:
-        yield held
-
-
-def _each_words(chunk: list[tuple]) -> Iterator[tuple[tuple, np.ndarray]]:
-    hashes, _, _, counts = hashed_words([r[1] for r in chunk])
-    at = 0
-    for row, n in zip(chunk, counts.tolist(), strict=True):
-        yield row, hashes[at : at + n]
-        at += n
-
-
-def _document_anchors(docs: DataFrame, width: int) -> DataFrame:
-    """(anchor, doc_id): distinct anchors of every document."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
+class Words:
+    """Hashed words of the documents of a chunk, and the windows in them."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes], width: int):
+        self.hashes, self.starts, self.ends, counts = hashed_words(texts)
+        doc = np.repeat(np.arange(len(texts)), counts)
+        known = np.array([i is not None for i in ids], bool)
+        n = max(len(doc) - width + 1, 0)
+        #: first words of all windows: within one document that has an id
+        self.at = np.flatnonzero((doc[:n] == doc[width - 1 : width - 1 + n]) & known[doc[:n]])
+        self.doc = np.array([0 if i is None else i for i in ids], np.int64)[doc[self.at]]
+        self.first = np.cumsum(counts) - counts
+        self.index, self.last, self.width = doc, np.cumsum(counts) - 1, width
+
+    def anchors(self) -> np.ndarray:
+        """Hash of the anchor of each window."""
+        r = _rolling(self.hashes, ANCHOR, 1)
+        best = r[self.at]
+        for k in range(1, self.width - ANCHOR + 1):
+            best = np.minimum(best, r[self.at + k])
+        return best.view(np.int64)
+
+    def windows(self, which: np.ndarray) -> np.ndarray:
+        return _rolling(self.hashes, self.width, 2)[self.at[which]].view(np.int64)
+
+    def beside(self, which: np.ndarray) -> np.ndarray:
+        """Hashes of the word before (upper half) and after (lower half) of windows; 0 where the document ends."""
+        at = self.at[which]
+        doc = self.index[at]
+        end = at + self.width - 1
+        some = (self.hashes >> np.uint64(32)) | np.uint64(1)
+        before = np.where(at > self.first[doc], some[np.maximum(at - 1, 0)], np.uint64(0))
+        after = np.where(end < self.last[doc], some[np.minimum(end + 1, len(some) - 1)], np.uint64(0))
+        return ((before << np.uint64(32)) | after).view(np.int64)
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts keys, the first place of each distinct key in it, and the distinct keys."""
+    order = np.argsort(keys, kind="stable")
+    sorted_ = keys[order]
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return order, first, sorted_[first]
+
+
+def _chunked(docs: DataFrame, size: int) -> DataFrame:
+    """(chunk, doc_id, text) of all rows of (doc_id, text), in input order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            found, ids = [], []
-            for row, h in _each_words(chunk):
-                if len(h) >= width:
-                    place, r = _anchors(h, width)
-                    found.append(np.unique(r[np.unique(place)]).view(np.int64))
-                    ids.append(np.full(len(found[-1]), row[0], np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(ids))], schema=schema)
-
-    return docs.mapInArrow(each, "anchor long, doc_id long")
-
-
-def _windows(marked: DataFrame, width: int) -> DataFrame:
-    """(window, doc_id, place) of all windows at the anchors of (doc_id, text, anchors)."""
-    schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int32())])
+        at, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) + held
+            chunk = at + ends // size  # a new chunk whenever another multiple of its size is reached
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), batch.column(0), batch.column(1)], schema=_DOCS)
+            held = int(ends[-1]) if len(ends) else held
+
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, _ddl(_DOCS))
+
+
+def _beside(chunks: DataFrame, more: DataFrame | None, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of ``more`` (chunk, columns) and then the documents of each chunk, chunk after chunk."""
+    if more is None:
+        return chunks
+    types = dict(more.dtypes)
+    docs = chunks.select("chunk", F.lit(1).alias("kind"), "doc_id", "text", *[F.lit(None).cast(types[c]).alias(c) for c in columns])
+    both = docs.unionByName(more.select("chunk", F.lit(0).alias("kind"), *columns), allowMissingColumns=True)
+    return both.repartition("chunk").sortWithinPartitions("chunk", "kind")
+
+
+def _per_chunk(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list, list[bytes], list[pa.ChunkedArray]]]:
+    """(chunk, doc ids, texts, columns of the rows beside them) of every chunk; batches hold chunks in a row."""
+    parts: list[pa.RecordBatch] = []
+
+    def flush() -> tuple:
+        t = pa.Table.from_batches(parts)
+        mine = t.filter(pc.equal(t["kind"], 1)) if columns else t
+        other = t.filter(pc.equal(t["kind"], 0)) if columns else t
+        return t["chunk"][0].as_py(), mine["doc_id"].to_pylist(), mine["text"].cast(pa.binary()).to_pylist(), [other[c] for c in columns]
+
+    for batch in batches:
+        chunk = batch.column(0).to_numpy()
+        cuts = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            if parts and parts[0].column(0)[0].as_py() != int(chunk[a]):
+                yield flush()
+                parts = []
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield flush()
+
+
+def _anchor_rows(chunks: DataFrame, width: int) -> DataFrame:
+    """(anchor, chunk, lo, hi): distinct anchors of every chunk with the smallest and largest document that has them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, "anchors"):
-            out: list[tuple] = []
-            for row, h in _each_words(chunk):
-                place, r = _anchors(h, width)
-                at = np.flatnonzero(np.isin(r.view(np.int64), np.array(row[2], np.int64))[place])
-                out.append((_rolling(h, width, 2).view(np.int64)[at], np.full(len(at), row[0], np.int64), at.astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+        for chunk, ids, texts, _ in _per_chunk(batches, ()):
+            w = Words(ids, texts, width)
+            order, first, anchors = _groups(w.anchors())
+            if len(first):
+                doc = w.doc[order]
+                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(np.full(len(anchors), chunk)), pa.array(np.minimum.reduceat(doc, first)), pa.array(np.maximum.reduceat(doc, first))], schema=_ANCHORS)
 
-    return marked.mapInArrow(each, "window long, doc_id long, place int")
+    return chunks.mapInArrow(each, _ddl(_ANCHORS))
 
 
-def _requests(hits: DataFrame) -> DataFrame:
-    """(doc_id, source, windows): runs of consecutive repeats of a document that have one source."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("windows", pa.list_(pa.int64()))])
+def _window_rows(chunks: DataFrame, marks: DataFrame, width: int) -> DataFrame:
+    """(window, chunk, lo, hi, same, varied): distinct windows at the marked anchors (chunk, anchor) of every chunk.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                docs, sources, runs = [], [], []
-                for row in batch.slice(lo, 256).to_pylist():
-                    found = row["found"]
-                    place = np.array([f["place"] for f in found])
-                    source = np.array([f["source"] for f in found])
-                    window = np.array([f["window"] for f in found])
-                    order = np.argsort(place)
-                    place, source, window = place[order], source[order], window[order]
-                    cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(source) != 0)) + 1
-                    for part in np.split(np.arange(len(place)), cut):
-                        docs.append(row["doc_id"])
-                        sources.append(int(source[part[0]]))
-                        runs.append(window[part])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sources, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], schema=schema)
-
-    grouped = hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "source", "window")).alias("found"))
-    return grouped.mapInArrow(each, "doc_id long, source long, windows array<long>")
-
-
-def _passages(asked: DataFrame, width: int) -> DataFrame:
-    """(doc_id, passage): the source's words for every run asked of it; (doc_id, source, windows, text of the source)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("passage", pa.string())])
+    ``same`` has the bits that the hashes of the neighbouring words have in common, ``varied`` those that any of them has but not all.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, "windows"):
-            ids, passages = [], []
-            for (doc_id, text, wanted), h in _each_words(chunk):
-                words, want = text.split(), np.array(wanted, np.int64)
-                have = _rolling(h, width, 2).view(np.int64)
-                places: dict[int, list[int]] = {}
-                for p in np.flatnonzero(np.isin(have, want)).tolist():
-                    places.setdefault(int(have[p]), []).append(p)
-                k = 0
-                while k < len(wanted):  # longest stretch of the source that shows the wanted windows in a row
-                    best, at = 1, None
-                    for p in places.get(wanted[k], ()):
-                        size = min(len(want) - k, len(have) - p)
-                        same = have[p : p + size] == want[k : k + size]
-                        n = size if same.all() else int(same.argmin())
-                        if at is None or n > best:
-                            best, at = n, p
-                        if k + best == len(wanted):
-                            break
-                    if at is not None:
-                        ids.append(doc_id)
-                        passages.append(b" ".join(words[at : at + best + width - 1]).decode("utf-8", "surrogatepass"))
-                    k += best
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(passages, pa.string())], schema=schema)
-
-    return asked.mapInArrow(each, "doc_id long, passage string")
-
-
-def locate(texts: list[list[str]], passages: set[str]) -> Iterator[list[tuple[int, int]]]:
-    """Word ranges (first, end) of every occurrence of the passages in each text, through one automaton."""
-    automaton = ahocorasick.Automaton()
-    for p in passages:
-        automaton.add_word(f" {p} ", p.count(" ") + 1)
-    automaton.make_automaton()
-    for words in texts:
-        line = f" {' '.join(words)} "
-        ends = np.cumsum([len(w) + 1 for w in words])  # place of the blank after each word
-        hits = list(automaton.iter(line))
-        last = np.searchsorted(ends, np.array([e for e, _ in hits], np.int64)) + 1 if hits else []
-        yield [(int(e) - n, int(e)) for e, (_, n) in zip(last, hits, strict=True)]
-
-
-def _strip(shards: DataFrame, most: int) -> DataFrame:
-    """Result rows of (doc_id, text, passages); an automaton is compiled for up to ``most`` characters of passages, a text at least."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        words = [[w.decode("utf-8", "surrogatepass") for w in r[1].split()] for r in rows]
-        out = []
-        for r, w, found in zip(rows, words, locate(words, {p for r in rows for p in r[2]}), strict=True):
-            gone = np.zeros(len(w) + 1, np.int64)
-            own = set(r[2])
-            for a, b in found:
-                if " ".join(w[a:b]) in own:  # another document of the shard may ask for a passage that this one is the source of
-                    gone[a] += 1
-                    gone[b] -= 1
-            keep = np.cumsum(gone[:-1]) == 0
-            whole = hashlib.sha256(b" ".join(r[1].split())).hexdigest()
-            out.append((r[0], len(w), int((~keep).sum()), whole, " ".join([x for x, k in zip(w, keep, strict=True) if k])))
-        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _RESULT_ARROW, strict=True)], schema=_RESULT_ARROW)
+        for chunk, ids, texts, (marked,) in _per_chunk(batches, ("anchor",)):
+            if not len(marked):
+                continue
+            w = Words(ids, texts, width)
+            which = np.flatnonzero(np.isin(w.anchors(), marked.to_numpy()))
+            order, first, windows = _groups(w.windows(which))
+            doc, near = w.doc[which][order], w.beside(which)[order]
+            all_ = np.bitwise_and.reduceat(near, first)
+            columns = [windows, np.full(len(windows), chunk), np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), all_, np.bitwise_or.reduceat(near, first) ^ all_]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=_WINDOWS)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for chunk in _chunks(batches, "passages"):
-            for row in chunk:
-                held.append(row)
-                size += sum(map(len, row[2]))
-                if size >= most or len(held) >= 512:
-                    yield solve(held)
-                    held, size = [], 0
-        if held:
-            yield solve(held)
+    return _beside(chunks, marks, ("anchor",)).mapInArrow(each, _ddl(_WINDOWS))
 
-    return shards.mapInArrow(each, _RESULT)
 
+def _passages(chunks: DataFrame, recurring: DataFrame, width: int) -> DataFrame:
+    """(window, source, passage): the passages of recurring windows (chunk, window, source, varied), and the hash of one window of each."""
 
-def _untouched(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string())])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, texts, columns in _per_chunk(batches, ("window", "source", "varied")):
+            want, source, varied = (c.to_numpy() for c in columns)
+            if not len(want):
+                continue
+            order = np.argsort(want)
+            want, source, varied = want[order], source[order], varied[order]
+            w = Words(ids, texts, width)
+            have = w.windows(np.arange(len(w.at)))
+            place = np.minimum(np.searchsorted(want, have), len(want) - 1)
+            hit = np.flatnonzero((want[place] == have) & (source[place] == w.doc))
+            _, at = np.unique(place[hit], return_index=True)  # the first place of each window
+            hit = np.sort(hit[at])
+            which, at = place[hit], w.at[hit]
+            joined = (np.diff(at) == 1) & (varied[which[:-1]] & _LOW == 0) & (varied[which[1:]] >> np.int64(32) == 0)
+            begin = np.flatnonzero(np.r_[True, ~joined])
+            end = np.r_[begin[1:], len(at)] - 1
+            data = b"\n".join(texts)
+            cut = [b" ".join(data[a:b].split()) for a, b in zip(w.starts[at[begin]].tolist(), w.ends[at[end] + width - 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(want[which[begin]]), pa.array(source[which[begin]]), pa.array(cut, pa.binary())], schema=_PASSAGES)
+
+    return _beside(chunks, recurring, ("window", "source", "varied")).mapInArrow(each, _ddl(_PASSAGES))
+
+
+def automaton(passages: list[tuple[bytes, int]]) -> ahocorasick.Automaton:
+    """Of (words joined by blanks, source); finds each with its number of words and its smallest source.  Bytes are read as characters."""
+    out = ahocorasick.Automaton()
+    for text, source in passages:
+        key = f" {text.decode('latin-1')} "
+        n, known = out.get(key, (0, source))
+        out.add_word(key, (text.count(b" ") + 1, min(known, source)))
+    out.make_automaton()
+    return out
+
+
+def locate(words: list[bytes], found: ahocorasick.Automaton, doc_id: int) -> np.ndarray | None:
+    """For each word whether it stays: it is in no occurrence of a passage from a smaller document; None: all stay."""
+    hits = [(e, n) for e, (n, source) in found.iter(f" {b' '.join(words).decode('latin-1')} ") if source < doc_id]
+    if not hits:
+        return None
+    places, sizes = np.array(hits, np.int64).T
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # place of the blank after each word
+    last = np.searchsorted(ends, places) + 1
+    gone = np.bincount(last - sizes, minlength=len(words) + 1) - np.bincount(last, minlength=len(words) + 1)
+    return np.cumsum(gone[:-1]) == 0
+
+
+def _strip(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """Result rows of all documents of chunks, through the automaton of the passages (chunk, source, passage) of their chunk."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
-            rows = [(r[0], len(w := r[1].split()), hashlib.sha256(b" ".join(w)).hexdigest()) for r in chunk]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        for _, ids, texts, (source, passage) in _per_chunk(batches, ("source", "passage")):
+            shard = automaton(list(zip(passage.to_pylist(), source.to_pylist(), strict=True))) if len(passage) else None
+            out = []
+            for doc_id, text in zip(ids, texts, strict=True):
+                words = text.split()
+                stay = locate(words, shard, doc_id) if shard and words and doc_id is not None else None
+                kept = words if stay is None else list(compress(words, stay.tolist()))
+                out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept)))
+            columns = list(zip(*out, strict=True))
+            if out:
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary()).cast(pa.string())], schema=_RESULT)
 
-    return docs.mapInArrow(each, "doc_id long, n_words long, kept_sha256 string")
+    return _beside(chunks, passages, ("source", "passage")).mapInArrow(each, _ddl(_RESULT))
 
 
-def stripped(docs: DataFrame, width: int = 13, automaton_chars: int = 1 << 21) -> DataFrame:
-    """(doc_id, n_words, n_removed, whole_sha256, kept) for every document of (doc_id, text) that loses words; ``kept``: the words left, joined by blanks.
+def stripped(docs: DataFrame, width: int = 13, chunk_bytes: int = CHUNK) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) for every row of (doc_id, text); ``kept``: the words left, joined by blanks.
 
     See ``remove_repeats`` for what counts and for odd rows.
     """
-    docs = doc_text(docs).where("doc_id is not null")
-    anchors = materialize(_document_anchors(docs, width), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    marks = materialize(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "marks")
+    chunks = materialize(_chunked(docs, chunk_bytes), "chunks")
+    anchors = materialize(_anchor_rows(chunks, width), "anchors")
+    shared = materialize(anchors.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor"), "shared-anchors")
+    windows = materialize(_window_rows(chunks, anchors.join(shared, "anchor").select("chunk", "anchor"), width), "windows")
     drop_table(anchors)
-    marked = materialize(docs.join(marks, "doc_id"), "marked")
-    drop_table(marks)
-    windows = _windows(marked, width)
-    repeats = windows.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("window", "source")
-    hits = windows.join(repeats, "window").where("doc_id > source")
-    asked = materialize(_requests(hits), "requests")
-    free_shuffles(docs.sparkSession)
-    texts = marked.select("doc_id", "text")  # one exchange serves the sources and the documents that are searched
-    runs = asked.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("asker"), "windows").join(texts, "doc_id")
-    passages = _passages(runs.select(F.col("asker").alias("doc_id"), "text", "windows"), width)
-    shards = texts.join(passages.groupBy("doc_id").agg(F.collect_set("passage").alias("passages")), "doc_id")
-    return _strip(shards, automaton_chars)
+    drop_table(shared)
+    found = windows.groupBy("window").agg(F.min("lo").alias("source"), F.max("hi").alias("last"), F.min_by("chunk", "lo").alias("chunk"), F.bit_and("same").alias("same"), F.bit_or(F.expr("same | varied")).alias("any"))
+    recurring = found.where("source < last").select("chunk", "window", "source", F.expr("any ^ same").alias("varied"))
+    passages = materialize(_passages(chunks, recurring, width), "passages")
+    where = windows.join(passages, "window").where("hi > source").select("chunk", "source", "passage")
+    return _strip(chunks, where)
 
 
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
@@ -256,8 +283,4 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     Ties cannot arise: only a smaller doc_id counts, so the rows of one doc_id do not shorten each other, and its
     passages are those of all its rows.  Rows without doc_id are returned whole.  Windows are judged on the input, not on what is left.
     """
-    docs = doc_text(docs)
-    cut = materialize(stripped(docs, width), "stripped").select("doc_id", F.col("whole_sha256").alias("kept_sha256"), "n_removed", F.sha2("kept", 256).alias("cut_sha256")).distinct()
-    whole = _untouched(docs)
-    joined = whole.join(cut, ["doc_id", "kept_sha256"], "left")
-    return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
+    return stripped(docs, width).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -207,6 +207,30 @@ def test_repeats(spark, docs, plain, empty):
     assert got == brute_repeats([x for x in made if x[0]])
 
 
+def test_repeats_in_many_chunks(spark):
+    rng = np.random.default_rng(3)
+    pool = [[f"w{k}" for k in rng.integers(0, 30, n)] for n in (14, 20, 60, 200)]  # few words, so that windows follow each other in many ways
+    made = []
+    for i in range(150):
+        w = []
+        for _ in range(rng.integers(0, 4)):
+            p = list(pool[rng.integers(0, 4)])
+            a = rng.integers(0, len(p) - 12)
+            p = p[a : a + rng.integers(12, len(p) + 1)]
+            if rng.random() < 0.5:
+                p[rng.integers(0, len(p))] = f"x{i}"
+            w += p + [f"w{k}" for k in rng.integers(0, 30, rng.integers(0, 3))]
+        made.append((int(rng.integers(0, 120)), " ".join(w)))  # some ids come twice
+    docs = spark.createDataFrame([*made, (None, made[0][1]), (None, None)], "doc_id long, text string").repartition(3)
+    for size in (1 << 22, 2000):
+        got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in repeats.stripped(docs, chunk_bytes=size).where("doc_id is not null").collect())
+        assert got == brute_repeats(sorted(made))
+        assert sorted((r.n_words, r.n_removed) for r in repeats.stripped(docs, chunk_bytes=size).where("doc_id is null").collect()) == sorted([(0, 0), (len(made[0][1].split()), 0)])
+    found = repeats.automaton([(b"b c", 5), (b"b c", 3), ("é b".encode(), 1)])
+    assert repeats.locate(b"a b c b".split(), found, 4).tolist() == [True, False, False, True] and repeats.locate(b"a b c".split(), found, 3) is None
+    assert repeats.locate("é b c".encode().split(), found, 3).tolist() == [False, False, True]
+
+
 def brute_components(plain):
     def shingles(t):
         w = t.encode().lower().split()
