@@ -19,8 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words; every other code point belongs to a word.
-SPACES = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +46,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     if sc.cleaner().isDefined():
         for shuffle in range(first + 1, sc.newShuffleId()):
-            sc.cleaner().get().doCleanupShuffle(shuffle, False)
+            sc.cleaner().get().doCleanupShuffle(shuffle, True)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
@@ -92,33 +90,45 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x5851F42D4C957F2D
+_BASE, _BACK = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_BLANK = np.zeros(256, bool)
-_BLANK[list(SPACES)] = True
+_powers: dict[np.uint64, np.ndarray] = {}
+
+
+def power(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64; one table for each worker."""
+    if len(_powers.get(base, ())) < n:
+        with np.errstate(over="ignore"):
+            _powers[base] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 1 << 20) + (n >> 2), base, np.uint64))])
+    return _powers[base][:n]
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of all words of ``texts``, and for each word its first and end byte in the
     texts joined by line feeds; last, the number of words of each text.  Equal words hash alike everywhere."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = _BLANK[data]
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
     starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
     ends = np.flatnonzero(blank & np.r_[False, ~blank[:-1]])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     counts = np.diff(np.searchsorted(starts, np.r_[0, np.cumsum(sizes)]))
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends, counts
-    length = ends - starts
     with np.errstate(over="ignore"):
-        # sum of byte values times powers of the place in the word
-        place = np.arange(len(data)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-        powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(min(int(length.max()), 64), _BASE, np.uint64))])
-        value = _BYTE[data]
-        deep = place >= len(powers)
-        value *= powers[np.where(deep, 0, place)]
-        if deep.any():  # places of very long words
-            value[deep] = mix(_BYTE[data[deep]] + place[deep].astype(np.uint64) * np.uint64(_BASE))
-        value[blank] = 0
-        sums = np.add.reduceat(value, starts)
-    return mix(sums + length.astype(np.uint64)), starts, ends, counts
+        # byte values times powers of their place; a word's sum is divided by the power of its first place
+        sums = np.cumsum(_BYTE[data] * power(_BASE, len(data)))
+        before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+        values = (sums[ends - 1] - before) * power(_BACK, len(data))[starts]
+        return mix(values + (ends - starts).astype(np.uint64)), starts, ends, counts
+
+
+def rolling(h: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """Hashes of all sequences of n words, from the words' hashes."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    size = len(h) - n + 1
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(h * power(_BASE, len(h)))
+        total = sums[n - 1 :].copy()
+        total[1:] -= sums[: size - 1]
+        return mix(total * power(_BACK, size) + np.uint64(salt))

@@ -32,13 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, hashed_words, materialize, mix
+from .common import drop_table, hashed_words, materialize, rolling
 
 #: words of an anchor: longer ones are more numerous and less often common to documents without a common window
-ANCHOR = 8
+ANCHOR = 6
 #: bytes of text in a chunk (a longer document is a chunk): more passages and anchors are common to its documents, and it is held in memory by a task
 CHUNK = 1 << 22
-_K = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.int64(0xFFFFFFFF)
 _DOCS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
@@ -52,16 +51,6 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
 
 
-def _rolling(h: np.ndarray, n: int, salt: int) -> np.ndarray:
-    """Hashes of all sequences of n words."""
-    size = max(len(h) - n + 1, 0)
-    total = np.zeros(size, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            total += h[i : i + size] * _K[i]
-        return mix(total + np.uint64(salt))
-
-
 class Words:
     """Hashed words of the documents of a chunk, and the windows in them."""
 
@@ -78,14 +67,14 @@ class Words:
 
     def anchors(self) -> np.ndarray:
         """Hash of the anchor of each window."""
-        r = _rolling(self.hashes, ANCHOR, 1)
+        r = rolling(self.hashes, ANCHOR, 1)
         best = r[self.at]
         for k in range(1, self.width - ANCHOR + 1):
             best = np.minimum(best, r[self.at + k])
         return best.view(np.int64)
 
     def windows(self, which: np.ndarray) -> np.ndarray:
-        return _rolling(self.hashes, self.width, 2)[self.at[which]].view(np.int64)
+        return rolling(self.hashes, self.width, 2)[self.at[which]].view(np.int64)
 
     def beside(self, which: np.ndarray) -> np.ndarray:
         """Hashes of the word before (upper half) and after (lower half) of windows; 0 where the document ends."""
@@ -100,12 +89,20 @@ class Words:
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order that sorts keys, the first place of each distinct key in it, and the distinct keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_ = keys[order]
     first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return order, first, sorted_[first]
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each key is in ``known`` (sorted); runs of equal keys are looked up once."""
+    begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    some = keys[begin]
+    hit = known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
+    return np.repeat(hit, np.diff(np.r_[begin, len(keys)]))
+
+
 def _chunked(docs: DataFrame, size: int) -> DataFrame:
     """(chunk, doc_id, text) of all rows of (doc_id, text), in input order."""
 
@@ -179,7 +176,7 @@ def _window_rows(chunks: DataFrame, marks: DataFrame, width: int) -> DataFrame:
             if not len(marked):
                 continue
             w = Words(ids, texts, width)
-            which = np.flatnonzero(np.isin(w.anchors(), marked.to_numpy()))
+            which = np.flatnonzero(_among(w.anchors(), np.sort(marked.to_numpy())))
             order, first, windows = _groups(w.windows(which))
             doc, near = w.doc[which][order], w.beside(which)[order]
             all_ = np.bitwise_and.reduceat(near, first)
@@ -200,12 +197,13 @@ def _passages(chunks: DataFrame, recurring: DataFrame, width: int) -> DataFrame:
             order = np.argsort(want)
             want, source, varied = want[order], source[order], varied[order]
             w = Words(ids, texts, width)
-            have = w.windows(np.arange(len(w.at)))
+            mine = np.flatnonzero(_among(w.doc, np.unique(source)))
+            have = w.windows(mine)
             place = np.minimum(np.searchsorted(want, have), len(want) - 1)
-            hit = np.flatnonzero((want[place] == have) & (source[place] == w.doc))
+            hit = np.flatnonzero((want[place] == have) & (source[place] == w.doc[mine]))
             _, at = np.unique(place[hit], return_index=True)  # the first place of each window
             hit = np.sort(hit[at])
-            which, at = place[hit], w.at[hit]
+            which, at = place[hit], w.at[mine[hit]]
             joined = (np.diff(at) == 1) & (varied[which[:-1]] & _LOW == 0) & (varied[which[1:]] >> np.int64(32) == 0)
             begin = np.flatnonzero(np.r_[True, ~joined])
             end = np.r_[begin[1:], len(at)] - 1
@@ -266,13 +264,18 @@ def stripped(docs: DataFrame, width: int = 13, chunk_bytes: int = CHUNK) -> Data
     chunks = materialize(_chunked(docs, chunk_bytes), "chunks")
     anchors = materialize(_anchor_rows(chunks, width), "anchors")
     shared = materialize(anchors.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("anchor"), "shared-anchors")
-    windows = materialize(_window_rows(chunks, anchors.join(shared, "anchor").select("chunk", "anchor"), width), "windows")
+    marks = materialize(anchors.join(shared.hint("shuffle_hash"), "anchor").select("chunk", "anchor"), "marks")
     drop_table(anchors)
     drop_table(shared)
+    windows = materialize(_window_rows(chunks, marks, width), "windows")
+    drop_table(marks)
     found = windows.groupBy("window").agg(F.min("lo").alias("source"), F.max("hi").alias("last"), F.min_by("chunk", "lo").alias("chunk"), F.bit_and("same").alias("same"), F.bit_or(F.expr("same | varied")).alias("any"))
-    recurring = found.where("source < last").select("chunk", "window", "source", F.expr("any ^ same").alias("varied"))
+    recurring = materialize(found.where("source < last").select("chunk", "window", "source", F.expr("any ^ same").alias("varied")), "recurring")
     passages = materialize(_passages(chunks, recurring, width), "passages")
-    where = windows.join(passages, "window").where("hi > source").select("chunk", "source", "passage")
+    drop_table(recurring)
+    where = materialize(windows.select("window", "chunk", "hi").join(passages.hint("shuffle_hash"), "window").where("hi > source").select("chunk", "source", "passage"), "shards")
+    drop_table(windows)
+    drop_table(passages)
     return _strip(chunks, where)
 
 
