@@ -4,7 +4,8 @@ Both public BPE files cut a text before every run of white space that follows
 a non-space character, so the ids of a text are the ids of its space-delimited
 pieces, in order.  A worker encodes a piece once and then reuses the packed
 bytes; texts with other spacing than single blanks and line feeds are encoded whole,
-and so are those whose line feeds the byte-level file keeps together: three or more in a row, two or more at the end.
+and so are those whose line feeds the byte-level file keeps together (two or more in a row), and those that
+hold an added token of the file, which the tokenizer gives its own id.
 """
 
 from __future__ import annotations
@@ -64,7 +65,9 @@ class TextEncoder:
     def __init__(self, path: str, memo: int = 400_000):
         limit_threads()
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: added tokens, as they are and as the file's normalizer leaves them
+        self.added = {x for t in self.tok.get_added_tokens_decoder().values() for x in (t.content, t.content.lower()) if x}
+        self.normalized = any(t.normalized for t in self.tok.get_added_tokens_decoder().values())
         self.model = self.tok.model
         self.symbols = _byte_symbols()
         #: a file that lower-cases and drops white space, or one that keeps a leading blank with the word
@@ -103,15 +106,20 @@ class TextEncoder:
                 return self._word(low[:-1], "") + self.after[low[-1]]
         return self._whole(piece)
 
+    def _has_added(self, text: str) -> bool:
+        if self.normalized:
+            text = text.lower()
+        return any(x in text for x in self.added)
+
     def encode(self, text: str) -> bytes:
         """Packed little-endian uint32 ids of the whole text."""
         if not text:
             return b""
-        if _rare_space(text):
+        if _rare_space(text) or self._has_added(text):
             return self._whole(text)
         if self.spaceless:
             return b"".join(map(self.memo.__getitem__, text.split()))
-        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or "\n\n\n" in text or text[-2:] == "\n\n":
+        if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or "\n\n" in text:
             return self._whole(text)
         pieces = text.replace("\n", " \n").split(" ")
         return self._whole(pieces[0]) + b"".join(map(self.memo.__getitem__, pieces[1:]))
