@@ -3,9 +3,9 @@
 A character belongs to one of 2**bits classes; ``order`` class numbers packed into one
 long are an n-gram, so its context (all but the last) and its suffix (all but the
 first) are bit operations.  Counting and smoothing cover the whole corpus and run
-distributed.  What is broadcast is a sorted table of the hash slots in use.  Their range grows with the distinct n-grams
-(``fitted``), so that at most one slot in 2**SPARE is in use for any corpus: an n-gram that was not counted finds
-nothing but for that share, and the few that share a slot share their (count-weighted) value.
+distributed.  A model is a sorted array of n-gram hashes with their values.  Hashes grow with the distinct n-grams
+(``fitted``), so that at most one hash in 2**SPARE is in use for any corpus: an n-gram that was not counted is found with
+that probability at most, and is else scored by backing off (``HashArrays.log_probability``).
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: slots outnumber the distinct n-grams by this power of two at least
-SPARE = 12
+#: hashes outnumber the distinct n-grams by this power of two at least
+SPARE = 30
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -64,21 +64,28 @@ class Shape:
     def classes(self, codes: np.ndarray) -> np.ndarray:
         """Class numbers 1.. of code points; 0 stands before a text.  Rare scripts share classes."""
         half = 1 << (self.bits - 1)
-        return np.where(codes < half - 1, codes + 1, half + codes % half).astype(np.int64)
+        out = codes.astype(np.int64) + 1
+        high = codes >= half - 1
+        if high.any():
+            out[high] = half + codes[high] % half
+        return out
 
     def keys(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Keys of all n-grams that end at a character of ``texts``, and the number of characters of each text."""
         pad = self.order - 1
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-        starts = np.cumsum(sizes + pad) - sizes
-        at = np.arange(len(codes)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        padded = np.zeros(len(codes) + pad * len(texts), np.int64)
-        padded[at] = self.classes(codes)
-        keys = np.zeros(len(codes), np.int64)
-        for k in range(self.order):
-            keys = (keys << self.bits) | padded[at - pad + k]
-        return keys, sizes
+        # pad places before each text, of class 0: code points of the joined texts move up by the pads before them
+        codes = np.frombuffer(("\0" * pad).join(["", *texts]).encode("utf-32-le", "surrogatepass"), "<u4")
+        cls = self.classes(codes)
+        real = np.ones(len(codes), bool)
+        first = np.cumsum(sizes + pad) - sizes
+        for k in range(1, pad + 1):
+            real[first - k] = False
+        cls[~real] = 0
+        keys = cls.copy()
+        for k in range(1, self.order):
+            keys[k:] |= cls[:-k] << (self.bits * k)
+        return keys[real], sizes
 
     def word_keys(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys whose context does not reach back over the start of a word.
@@ -155,17 +162,33 @@ def discounted(grams: DataFrame, shape: Shape) -> DataFrame:
     return with_d.selectExpr("m", "key", "n", f"(n - d) / sum(n) {part} as own", f"sum(d) {part} / sum(n) {part} as rest")
 
 
-def lower(grams: DataFrame, shape: Shape, n: int) -> DataFrame:
-    """(m, key, p): interpolated probabilities of order ``n`` by continuation counts; ``grams``: the distinct (m, key) of order n + 1.
+def continuations(grams: DataFrame, shape: Shape, n: int) -> DataFrame:
+    """Counts of order ``n``: in how many of the distinct (m, key) of order n + 1 an n-gram ends.  Written down, so that plans grow by one join for each order."""
+    return materialize(grams.groupBy("m", F.col("key").bitwiseAND(F.lit(shape.mask(n))).alias("key")).agg(F.count(F.lit(1)).alias("n")), "continuations")
 
-    The counts of each order are written down, so that the plan grows by one join for each order.
-    """
-    counts = materialize(grams.groupBy("m", F.col("key").bitwiseAND(F.lit(shape.mask(n))).alias("key")).agg(F.count(F.lit(1)).alias("n")), "continuations")
-    own = discounted(counts, shape)
-    if n == 1:
-        return own.selectExpr("m", "key", f"own + rest / {1 << shape.bits}d as p")
-    down = lower(counts.select("m", "key"), shape, n - 1).selectExpr("m", "key as low", "p as q")
-    return own.withColumn("low", F.col("key").bitwiseAND(F.lit(shape.mask(n - 1)))).join(down, ["m", "low"]).selectExpr("m", "key", "own + rest * q as p")
+
+def interpolated(own: DataFrame, down: DataFrame | None, shape: Shape, n: int) -> DataFrame:
+    """(m, key, n, p, rest) of order ``n`` from its ``discounted`` counts and the probabilities ``down`` (m, key, p) of the order below."""
+    if down is None:
+        return own.selectExpr("m", "key", "n", f"own + rest / {1 << shape.bits}d as p", "rest")
+    low = own.withColumn("low", F.col("key").bitwiseAND(F.lit(shape.mask(n - 1))))
+    return low.join(down.selectExpr("m", "key as low", "p as q"), ["m", "low"]).selectExpr("m", "key", "n", "own + rest * q as p", "rest")
+
+
+def kneser_ney(grams: DataFrame, shape: Shape, n: int) -> list[DataFrame]:
+    """(m, key, n, p, rest) of the orders 1 to ``n``; grams (m, key, n), a written table: the counts of order n."""
+    counts = [grams]
+    for k in range(n - 1, 0, -1):
+        counts.append(continuations(counts[-1], shape, k))
+    out: list[DataFrame] = []
+    for k, c in enumerate(reversed(counts), 1):
+        out.append(interpolated(discounted(c, shape), out[-1] if out else None, shape, k))
+    return out
+
+
+def lower(grams: DataFrame, shape: Shape, n: int) -> DataFrame:
+    """(m, key, p): interpolated probabilities of order ``n`` by continuation counts; ``grams``: the distinct (m, key) of order n + 1."""
+    return kneser_ney(continuations(grams, shape, n), shape, n)[-1].select("m", "key", "p")
 
 
 def slot(m: str, key: str, shape: Shape) -> Column:
@@ -173,24 +196,52 @@ def slot(m: str, key: str, shape: Shape) -> Column:
 
 
 class HashArrays:
-    """A table slot -> value: slots sorted, found by binary search."""
+    """A table n-gram -> value: hashes sorted, found by binary search.
+
+    ``below`` is the table of the next lower order, ``rest`` the logarithm of each context's weight of that order, and ``floor`` that
+    of the probability of a character never seen in a model; without ``below`` what the table lacks has no value.
+    """
 
-    def __init__(self, slots: np.ndarray, values: np.ndarray, shape: Shape):
+    def __init__(self, slots: np.ndarray, values: np.ndarray, shape: Shape, below: HashArrays | None = None, rest: HashArrays | None = None, floor: dict[int, float] | None = None):
         order = np.argsort(slots, kind="stable")
         self.slots, self.values, self.shape = shape.narrow(slots[order]), values[order].astype(np.float32), shape
+        self.below, self.rest, self.floor = below, rest, floor or {}
 
     @classmethod
     def gather(cls, entries: DataFrame, m: str, key: str, value: str, weight: str, shape: Shape) -> HashArrays:
-        """Weighted mean of ``value`` in each slot; one row for each distinct n-gram, of 12 bytes, reaches the driver."""
+        """One row for each distinct n-gram, of 12 bytes, reaches the driver; should two share a hash, their mean by ``weight``."""
         rows = entries.groupBy(slot(m, key, shape).alias("slot")).agg((F.sum(F.expr(f"{value} * {weight}")) / F.sum(weight)).alias("v"))
         got = rows.select("slot", F.col("v").cast("float")).toArrow()
         return cls(got.column(0).to_numpy(), got.column(1).to_numpy(), shape)
 
-    def find(self, m: int, keys: np.ndarray, missing: float) -> np.ndarray:
-        return self.find_hashed(self.shape.slots(m, keys), missing)
-
-    def find_hashed(self, want: np.ndarray, missing: float) -> np.ndarray:
+    def _lookup(self, m: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of distinct keys, and whether the table has them.  Sorted hashes make the search local."""
         if not len(self.slots):
-            return np.full(len(want), missing, np.float32)
-        at = np.minimum(np.searchsorted(self.slots, want), len(self.slots) - 1)
-        return np.where(self.slots[at] == want, self.values[at], np.float32(missing))
+            return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        want = self.shape.slots(m, keys)
+        order = np.argsort(want)
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.slots, want[order]), len(self.slots) - 1)
+        return self.values[at], self.slots[at] == want
+
+    def find(self, m: int, keys: np.ndarray, missing: float) -> np.ndarray:
+        """The value of each key; each distinct key is looked up once."""
+        some, inverse = np.unique(keys, return_inverse=True)
+        values, hit = self._lookup(m, some)
+        return np.where(hit, values, np.float32(missing))[inverse]
+
+    def log_probability(self, m: int, keys: np.ndarray) -> np.ndarray:
+        """Of each key in model ``m``; what an order lacks is left to the order below, with the weight of its context if that was seen."""
+        some, inverse = np.unique(keys, return_inverse=True)
+        return self._backed_off(m, some)[inverse]
+
+    def _backed_off(self, m: int, keys: np.ndarray) -> np.ndarray:
+        values, hit = self._lookup(m, keys)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            lost = keys[miss]
+            if self.below is None:
+                values[miss] = self.floor.get(m, -self.shape.bits * np.log(2))
+            else:
+                values[miss] = self.rest.find(m, lost >> self.shape.bits, 0.0) + self.below.log_probability(m, lost & self.shape.mask(self.below.shape.order))
+        return values

@@ -1,7 +1,8 @@
 """N-gram perplexity filter (operator 2).
 
 Spark counts the character 5-grams of all documents for each language; modified Kneser-Ney
-smoothing turns them into log-probabilities, held in sorted hash arrays for scoring.  A document's
+smoothing turns them into log-probabilities, held in sorted hash arrays for scoring; n-grams that were not counted back off to
+lower orders.  A model with more n-grams than ``most`` is not sent to the tasks but joined.  A document's
 log-perplexity is its mean negative log-probability.  Each language has a lower and an upper
 band edge around the median, set by the spread (median absolute deviation) on either side
 over the documents that pass the base rules; documents outside are rejected.
@@ -9,62 +10,62 @@ over the documents that pass the base rules; documents outside are rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of
-from .ngrams import Counter, HashArrays, Shape, discounted, lower
+from .common import hashed_words, materialize, mix, rolling, rows_of
+from .ngrams import Counter, HashArrays, Shape, kneser_ney
 
 SHAPE = Shape(order=5, bits=12)
 SYMBOLS = "#*$%&|<>"
 _STATS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_chars long, log_ppl double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("n_chars", pa.int64()), ("log_ppl", pa.float64())])
 _WINDOW = 5
-_ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(_WINDOW)], np.uint64)
 #: log-perplexities are binned this fine for the bands
 _BIN = 1e-3
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words covered by a 5-word window whose sequence occurs twice or more in the text, all occurrences included."""
-    n = len(words) - _WINDOW + 1
-    if n < 2:
-        return 0
-    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    with np.errstate(over="ignore"):
-        keys = sum(h[k : k + n] * _ODD[k] for k in range(_WINDOW))
-    order = np.argsort(keys, kind="stable")
+def repeated_words(texts: list[bytes], hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each text the words covered by a 5-word window whose sequence occurs twice or more in it, all occurrences included.
+
+    Further arguments: ``hashed_words(texts)``.  Equal hashes are checked word by word.
+    """
+    doc = np.repeat(np.arange(len(texts)), counts)
+    n = max(len(doc) - _WINDOW + 1, 0)
+    at = np.flatnonzero(doc[:n] == doc[_WINDOW - 1 :])
+    keys = mix(rolling(hashes, _WINDOW, 3)[at] ^ mix(doc[at].astype(np.uint64)))
+    order = np.argsort(keys)
     same = keys[order[1:]] == keys[order[:-1]]
-    if not same.any():
-        return 0
-    covered = np.zeros(len(words) + 1, np.int64)
-    twice = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
-    at = order[twice]
-    seen: dict[tuple, int] = {}  # equal hashes are checked word by word
-    windows = [tuple(words[i : i + _WINDOW]) for i in at.tolist()]
+    at = at[order[np.r_[same, False] | np.r_[False, same]]] if len(at) else at
+    data, seen = b"\n".join(texts), {}
+    windows = [(d, *data[a:b].split()) for d, a, b in zip(doc[at].tolist(), starts[at].tolist(), ends[at + _WINDOW - 1].tolist(), strict=True)]
     for w in windows:
         seen[w] = seen.get(w, 0) + 1
     at = at[np.fromiter((seen[w] > 1 for w in windows), bool, len(windows))]
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + _WINDOW, -1)
-    return int((np.cumsum(covered) > 0).sum())
+    covered = np.bincount(at, minlength=len(doc) + 1) - np.bincount(at + _WINDOW, minlength=len(doc) + 1)
+    return np.bincount(doc[np.cumsum(covered[:-1]) > 0], minlength=len(texts))
 
 
-def base_rules(text: str) -> tuple[int, int, int, int, int, bool]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of a whole text."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-    repeat = repeated_words(words)
-    return len(words), len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, len(words) < 10 or 100 * repeat > 20 * len(words)
+def base_rules(texts: list[str]) -> list[tuple[int, int, int, int, int, bool]]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of whole texts."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    found = hashed_words(raw)
+    out = []
+    for text, n, repeat in zip(texts, found[3].tolist(), repeated_words(raw, *found).tolist(), strict=True):
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        out.append((n, len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, n < 10 or 100 * repeat > 20 * n))
+    return out
 
 
 def language_key(lang: str | None) -> int:
-    """Number of a language's model: the first eight bytes of its name; an unknown language has its own."""
-    return int.from_bytes((lang or "").encode()[:7].ljust(8, b"\0"), "little") + (lang is None)
+    """Number of a language's model: a 63-bit hash of its name; an unknown language has its own."""
+    return -1 if lang is None else int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[list[tuple]]:
@@ -83,13 +84,10 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
 
 
-def train(docs: DataFrame, shape: Shape = SHAPE) -> HashArrays:
-    """Log-probability of the last character of every n-gram of (text, lang), for each language.
-
-    Every document is counted; what is unlike its language is for the band to tell.
-    """
+def count(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
+    """(m, key, n): how often each n-gram of (text, lang) occurs in each language, over every document."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for chunk in _chunks(batches):
             by: dict[int, list[str]] = {}
@@ -99,36 +97,72 @@ def train(docs: DataFrame, shape: Shape = SHAPE) -> HashArrays:
                 yield from counter.add(m, shape.keys(texts)[0])
         yield from counter.flush()
 
-    grams = materialize(_inputs(docs).mapInArrow(count, Counter.SCHEMA).groupBy("m", "key").agg(F.sum("n").alias("n")), "ngram-counts")
-    own = discounted(grams, shape).withColumn("low", F.col("key").bitwiseAND(F.lit(shape.mask(shape.order - 1))))
-    down = lower(grams.select("m", "key"), shape, shape.order - 1).selectExpr("m", "key as low", "p as q")
-    probs = own.join(down, ["m", "low"]).selectExpr("m", "key", "n", "ln(own + rest * q) as logp")
-    return HashArrays.gather(probs, "m", "key", "logp", "n", shape.fitted(grams.count()))
+    return materialize(_inputs(docs).mapInArrow(each, Counter.SCHEMA).groupBy("m", "key").agg(F.sum("n").alias("n")), "ngram-counts")
 
 
-def score(docs: DataFrame, model: HashArrays) -> DataFrame:
-    """Base rules and log-perplexity (nats a character) of every row of (doc_id, text, lang).
+def log_probabilities(grams: DataFrame, shape: Shape) -> DataFrame:
+    """(m, key, n, logp) of counted n-grams."""
+    return kneser_ney(grams, shape, shape.order)[-1].select("m", "key", "n", F.ln("p").alias("logp"))
 
-    An n-gram that the model lacks counts as probability 2**-bits.  The empty text has log-perplexity 0.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    shape, unseen = model.shape, -model.shape.bits * float(np.log(2))
+
+def train(docs: DataFrame, shape: Shape = SHAPE) -> HashArrays:
+    """A model for each language of (text, lang) that scores any text: n-grams that no document has back off to lower orders."""
+    below = None
+    grams = count(docs, shape)
+    for n, level in enumerate(kneser_ney(grams, shape, shape.order), 1):
+        level, at = materialize(level, "kneser-ney"), replace(shape, order=n).fitted(grams.count())
+        table = HashArrays.gather(level.withColumn("logp", F.ln("p")), "m", "key", "logp", "n", at)
+        context = level.groupBy("m", F.shiftright("key", shape.bits).alias("key")).agg(F.max(F.ln("rest")).alias("v"), F.lit(1).alias("n"))
+        table.below, table.rest = below, HashArrays.gather(context, "m", "key", "v", "n", at)
+        if n == 1:
+            table.floor = {r.m: r.v - shape.bits * float(np.log(2)) for r in context.collect()}  # one row for each language
+        below = table
+    return below
+
+
+def _scored(docs: DataFrame, log_ppl: Callable[[list[str], str | None], np.ndarray]) -> DataFrame:
+    """Base rules and ``log_ppl`` (of texts of one language) of every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for chunk in _chunks(batches):
             by: dict[str | None, list[tuple]] = {}
             for row in chunk:
                 by.setdefault(row[2], []).append(row)
             for lang, rows in by.items():
-                keys, sizes = shape.keys([r[1] for r in rows])
-                sums = np.concatenate([[0.0], np.cumsum(table.find(language_key(lang), keys, unseen), dtype=np.float64)])
-                ends = np.cumsum(sizes)
-                log_ppl = (sums[ends - sizes] - sums[ends]) / np.maximum(sizes, 1)
-                out = [(r[0], lang, *base_rules(r[1]), int(n), float(x)) for r, n, x in zip(rows, sizes, log_ppl, strict=True)]
+                texts = [r[1] for r in rows]
+                out = [(r[0], lang, *base, len(r[1]), float(x)) for r, base, x in zip(rows, base_rules(texts), log_ppl(texts, lang), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    return _inputs(docs).mapInArrow(each, _STATS)
+    return docs.mapInArrow(each, _STATS)
+
+
+def score(docs: DataFrame, model: HashArrays) -> DataFrame:
+    """Base rules and log-perplexity (nats a character) of every row of (doc_id, text, lang).  The empty text has log-perplexity 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def log_ppl(texts: list[str], lang: str | None) -> np.ndarray:
+        keys, sizes = shared.value.shape.keys(texts)
+        sums = np.concatenate([[0.0], np.cumsum(shared.value.log_probability(language_key(lang), keys), dtype=np.float64)])
+        ends = np.cumsum(sizes)
+        return (sums[ends - sizes] - sums[ends]) / np.maximum(sizes, 1)
+
+    return _scored(_inputs(docs), log_ppl)
+
+
+def score_by_join(docs: DataFrame, probs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
+    """As ``score`` for documents whose n-grams are all in ``probs`` (m, key, logp), which may have any size: it is joined to the documents' n-grams."""
+    rows = materialize(_inputs(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, text, lang in rows_of(batches, "row", "text", "lang"):
+            keys, n = np.unique(shape.keys([text])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(np.full(len(keys), language_key(lang))), pa.array(keys), pa.array(n)], names=["row", "m", "key", "n"])
+
+    found = rows.mapInArrow(grams, "row long, m long, key long, n long").join(probs.select("m", "key", "logp"), ["m", "key"])
+    sums = found.groupBy("row").agg((-F.sum(F.expr("n * logp"))).alias("bits"))
+    plain = _scored(rows.select(F.col("row").alias("doc_id"), "text", "lang"), lambda texts, lang: np.zeros(len(texts))).withColumnRenamed("doc_id", "row")
+    both = plain.join(sums, "row", "left").join(rows.select("row", "doc_id"), "row")
+    return both.withColumn("log_ppl", F.coalesce(F.expr("bits / n_chars"), F.lit(0.0))).select(*_ARROW.names)
 
 
 def deviation(log_ppl: str, centre: str, n_chars: str) -> str:
@@ -163,15 +197,22 @@ def _median(bins: list[tuple[int, int]]) -> int:
     raise ValueError("no values")
 
 
-def perplexity_filter(docs: DataFrame, width: float = 6.0, shape: Shape = SHAPE) -> DataFrame:
+def perplexity_filter(docs: DataFrame, width: float = 6.0, shape: Shape = SHAPE, most: int = 1 << 25) -> DataFrame:
     """doc_id, lang, base-rule counts, base_failed, n_chars, log_ppl and kept for every row of (doc_id, text, lang).
 
     ``kept``: the base rules hold and the log-perplexity lies in the language's band, ``width`` robust standard
     deviations to either side of its median.  A null text is empty (and fails the base rules); documents of null
     language form a language of their own; repeated rows are counted and scored each; an empty table gives no rows.
-    A language without documents that pass the base rules has no band and keeps none.
+    A language without documents that pass the base rules has no band and keeps none.  ``most``: n-grams that are broadcast (12 bytes each);
+    beyond, the model is joined.
     """
-    scored = materialize(score(docs, train(docs, shape)), "perplexity")
+    probs = materialize(log_probabilities(count(docs, shape), shape), "ngram-probabilities")
+    size = probs.count()
+    if size > most:
+        scored = score_by_join(docs, probs, shape)
+    else:  # the documents are those that were counted, so no n-gram backs off
+        scored = score(docs, HashArrays.gather(probs, "m", "key", "logp", "n", shape.fitted(size)))
+    scored = materialize(scored, "perplexity")
     edges = docs.sparkSession.createDataFrame(bands(scored, width), "band_lang string, centre double, low double, high double")
     joined = scored.join(F.broadcast(edges), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     inside = F.expr(f"{deviation('log_ppl', 'centre', 'n_chars')} between low and high")
