@@ -43,7 +43,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     sc = spark.sparkContext._jsc.sc()
     first = sc.newShuffleId()
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if sc.cleaner().isDefined():
         for shuffle in range(first + 1, sc.newShuffleId()):
             sc.cleaner().get().doCleanupShuffle(shuffle, True)

@@ -37,7 +37,7 @@ from .common import drop_table, hashed_words, materialize, rolling
 #: words of an anchor: longer ones are more numerous and less often common to documents without a common window
 ANCHOR = 6
 #: bytes of text in a chunk (a longer document is a chunk): more passages and anchors are common to its documents, and it is held in memory by a task
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 _LOW = np.int64(0xFFFFFFFF)
 _DOCS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])

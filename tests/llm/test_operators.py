@@ -50,15 +50,16 @@ def words(text):
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_is_the_tokenizer(path, plain):
     tok, enc = Tokenizer.from_file(path), TextEncoder(path, memo=50)
-    tok.encode_special_tokens = True
-    for text in [t for _, t in plain] + ["a  b", " a", "a ", "\n", "a\nb", "a \nb", "a\t b", "\n\na", "1,2 b.", "a\x1cb", "A's"]:
+    rng = np.random.default_rng(2)
+    bits = ["a", "word", " ", " ", "\n", "\n\n", "\n\n\n", "é", "1", ".", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\t", "'s", "  "]
+    random = ["".join(rng.choice(bits, rng.integers(1, 9))) for _ in range(20_000)]
+    for text in [t for _, t in plain] + random + ["a  b", " a", "a ", "\n", "a\nb", "a \nb", "a\t b", "\n\na", "1,2 b.", "a\x1cb", "A's"]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_packing(docs, plain, empty):
     pieces = packing.pack(docs, BYTE, open_windows=4).collect()
     tok = Tokenizer.from_file(BYTE)
-    tok.encode_special_tokens = True
     want = Counter(np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes() for _, t in plain)
     by_window = defaultdict(list)
     for p in pieces:
@@ -86,7 +87,6 @@ def test_token_store(spark, docs, plain, empty):
     token_store.write(docs, path, WORD, end_id=1, block_bytes=2000)
     got = sorted(token_store.read(spark, path).collect(), key=lambda r: r.start)
     tok = Tokenizer.from_file(WORD)
-    tok.encode_special_tokens = True
     at = 0
     for r, (i, t) in zip(got, plain, strict=True):
         ids = tok.encode(t, add_special_tokens=False).ids + [1]
@@ -116,6 +116,17 @@ def test_fingerprint(spark, docs, plain, empty):
     prints = {tuple(r.fingerprint_words) for rs in got.values() for r in rs}
     assert len(prints) == len({tuple(sorted(t.split("\n"))) for _, t in plain})
     assert fingerprint.compare_with_next(empty).count() == 0
+
+    def alike(x, y):  # by squared norms of the clauses' counts
+        a, b = (Counter(re.split(r"\n|(?<=[.!?,;:]) +", t)) for t in (x, y))
+        both, apart = sum(v * v for c in (a, b) for v in c.values()), sum((a[k] - b[k]) ** 2 for k in a | b)
+        return (both - apart) / (both + apart)
+
+    off = []
+    for i, nxt in zip(ids, ids[1:], strict=False):
+        f = len(texts[i]) // 3
+        off += [got[i][0].near_edited - alike(texts[i], texts[i][: len(texts[i]) - f] + texts[nxt][:f]), got[i][0].near_next - alike(texts[i], texts[nxt])]
+    assert np.abs(off).max() < 0.4 and np.abs(off).mean() < 0.08
     one = spark.createDataFrame([("a\nb\nc", "c\na", "b")], "x string, y string, p string").withColumns({"fx": fingerprint.words("x"), "fy": fingerprint.words("y")})
     r = one.select("fx", "fy", fingerprint.insert("fy", "p").alias("i"), fingerprint.remove("fx", "p").alias("d")).first()
     assert r.fx == r.i and r.fy == r.d
@@ -134,7 +145,9 @@ def test_base_rules():
         return len(w), sum(not re.match(r"[\x20\x09-\x0D]", c) for c in text), sum(c in "#*$%&|<>" for c in text), dup, len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)
 
     for text in [t or "" for t in ODD] + ["a b c d e a b c d e", "a a a a a a", "p q r s t u\x85v\n\n# | p q r s t u\x85v", "a b c d e f g h i j k l"]:
-        assert perplexity.base_rules(text) == brute(text)
+        assert perplexity.base_rules([text]) == [brute(text)]
+    together = [t or "" for t in ODD] * 2
+    assert perplexity.base_rules(together) == [brute(t) for t in together]
 
 
 def test_kneser_ney_matches_plain_version(spark):
@@ -163,6 +176,21 @@ def test_kneser_ney_matches_plain_version(spark):
     down = ngrams.lower(grams.select("m", "key"), shape, 2).selectExpr("m", "key as low", "p as q")
     got = {r.key: r.p for r in own.join(down, ["m", "low"]).selectExpr("key", "own + rest * q as p").collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+    def rest(c, context):
+        around = [x for k, x in c.items() if k >> 8 == context]
+        return sum(discount(c)[min(x, 3) - 1] for x in around) / sum(around) if around else 1.0
+
+    def any_prob(key, c, n):  # of seen and unseen n-grams
+        if key in (known := prob(c, n)):
+            return known[key]
+        down = Counter(k & shape.mask(n - 1) for k in c)
+        return rest(c, key >> 8) * (any_prob(key & shape.mask(n - 1), down, n - 1) if n > 1 else 1 / 256)
+
+    model = perplexity.train(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string"), shape)
+    new = sorted({*counts, *shape.keys(["abnd cabr zaz zz q", "banana"])[0].tolist()})
+    found = model.log_probability(-1, np.array(new, np.int64))
+    assert len(new) > len(counts) and all(math.isclose(math.exp(x), any_prob(k, counts, 3), rel_tol=1e-5) for k, x in zip(new, found.tolist(), strict=True))
     keys = np.array([5, -7, 1 << 40, 0])
     hashed = spark.createDataFrame([(3, int(k)) for k in keys], "m long, key long").selectExpr("xxhash64(m, key) as h").collect()
     assert [r.h for r in hashed] == ngrams.hash_longs(keys, ngrams.hash_longs(np.array([3]), 42)).view(np.int64).tolist()
@@ -182,6 +210,9 @@ def test_perplexity(docs, plain, empty):
     assert len(out) == len(plain) and all(not r.kept for r in out if r.base_failed) and any(r.kept for r in out)
     assert {r.doc_id for r in out if r.kept} <= {r.doc_id for r in out if not r.base_failed}
     assert perplexity.perplexity_filter(empty).count() == 0
+    joined = {(r.doc_id, r.lang, round(r.log_ppl, 4), r.n_repeat_words) for r in perplexity.perplexity_filter(docs, most=0).collect()}  # a model too large to send
+    assert joined == {(r.doc_id, r.lang, round(r.log_ppl, 4), r.n_repeat_words) for r in out}
+    assert perplexity.language_key("zh-Hans-CN") != perplexity.language_key("zh-Hans-TW")
 
 
 def brute_repeats(plain, width=13):
