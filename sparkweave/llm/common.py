@@ -59,6 +59,19 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """A written table, marked for broadcast when it has ``most`` rows or fewer; a larger one is left to shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def unused(names: list[str], name: str) -> str:
+    """A column name like ``name`` that is none of ``names``."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, rows_of
+from .common import materialize, rows_of, small, unused
 from .ngrams import Counter, HashArrays, Shape, lower
 
 SHAPE = Shape(order=6, bits=10)
@@ -26,8 +26,8 @@ SHAPE = Shape(order=6, bits=10)
 RARE = 3
 #: strongest words of a text that count
 TOP = 3
-_FEATURES = "doc_id long, top double, mean double, size double"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("top", pa.float64()), ("mean", pa.float64()), ("size", pa.float64())])
+_FEATURES = "toxic int, top double, mean double, size double"
+_ARROW = pa.schema([("toxic", pa.int32()), ("top", pa.float64()), ("mean", pa.float64()), ("size", pa.float64())])
 #: bins of the features (top, mean, size) from which the regression is fitted, and their ranges
 _GRID = ((0.0, 6.0, 60), (-1.0, 0.5, 50), (0.0, 16.0, 16))
 _MODEL = 1  # both classes share the keys of one table
@@ -45,12 +45,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], *names: str, chars: int = 1 << 20
         yield held
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+def _low() -> F.Column:
+    return F.lower(F.coalesce("text", F.lit("")))
 
 
-def train(docs: DataFrame, labels: DataFrame, shape: Shape = SHAPE) -> HashArrays:
-    """Log-likelihood ratio of every n-gram from every labelled row: docs (doc_id, text), labels (doc_id, toxic 0/1)."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, text): lower-case texts of labelled documents.  The labels are broadcast when they are few; else both sides are shuffled."""
+    return docs.select("doc_id", _low().alias("text")).join(small(labels), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+
+
+def train(marked: DataFrame, shape: Shape = SHAPE) -> HashArrays:
+    """Log-likelihood ratio of every n-gram from every row of (toxic 0/1, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
@@ -60,7 +65,6 @@ def train(docs: DataFrame, labels: DataFrame, shape: Shape = SHAPE) -> HashArray
                     yield from counter.add(m, np.concatenate(own))
         yield from counter.flush()
 
-    marked = _texts(docs).join(labels, "doc_id").select("toxic", "text")
     grams = materialize(marked.mapInArrow(count, Counter.SCHEMA).groupBy("m", "key").agg(F.sum("n").alias("n")), "class-ngrams")
     shared = lower(grams.select(F.lit(0).cast("long").alias("m"), "key").distinct(), shape, shape.order - 1).selectExpr("key as low", "p as q")
     both = grams.groupBy("key").agg(*[F.sum(F.when(F.col("m") == m, F.col("n")).otherwise(0)).alias(f"n{m}") for m in (0, 1)])
@@ -81,15 +85,15 @@ def measure(texts: list[str], model: HashArrays) -> tuple[np.ndarray, np.ndarray
     return np.array(top), np.add.reduceat(ratio, first) / (sizes + 1), np.log1p(sizes)
 
 
-def features(docs: DataFrame, ratios: HashArrays) -> DataFrame:
-    """(doc_id, top, mean, size) of every row of docs (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(ratios)
+def features(marked: DataFrame, ratios: HashArrays) -> DataFrame:
+    """(toxic, top, mean, size) of every row of (toxic, text)."""
+    held = marked.sparkSession.sparkContext.broadcast(ratios)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, "doc_id", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in chunk], pa.int64()), *map(pa.array, measure([r[1] for r in chunk], held.value))], schema=_ARROW)
+        for chunk in _chunks(batches, "toxic", "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in chunk], pa.int32()), *map(pa.array, measure([r[1] for r in chunk], held.value))], schema=_ARROW)
 
-    return _texts(docs).mapInArrow(each, _FEATURES)
+    return marked.mapInArrow(each, _FEATURES)
 
 
 def _bin(name: str, k: int) -> F.Column:
@@ -131,13 +135,18 @@ def score(docs: DataFrame, labels: DataFrame, use: str = "true", fold: str = "pm
 
     labels (doc_id, toxic) are used where the SQL condition ``use`` holds: those whose ``fold`` is in folds[0] give the counts,
     those in folds[1] the regression.  Only the text enters a score.  A null text is scored as the empty one and stays null; repeated rows are scored
-    each; labels of unknown documents, null labels and null ids are ignored; without labels of both classes all scores are one small constant.
+    each; labels of unknown documents, null labels and null ids are ignored; a document with several labels is toxic if one of them says so;
+    without labels of both classes all scores are one small constant.
     """
-    labels = labels.where(F.expr(use)).where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
-    counted, held_out = (labels.where(F.expr(f"{fold} in ({f})")) for f in folds)
-    for_counts, for_fit = (docs.where(F.expr(f"{use} and {fold} in ({f})")) for f in folds)  # before the joins: fewer texts are shuffled
-    ratios = train(for_counts, counted)
-    weights = np.array(calibrate(features(for_fit, ratios).join(held_out, "doc_id")))
+    known = labels.where(F.expr(use)).where("doc_id is not null and toxic is not null")
+    known = materialize(known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "labels")
+    ratios, weights = None, None
+    for part in folds:  # the documents are filtered before the join as well
+        mine = labelled(docs.where(F.expr(f"{use} and {fold} in ({part})")), known.where(F.expr(f"{fold} in ({part})")))
+        if ratios is None:
+            ratios = train(mine)
+        else:
+            weights = np.array(calibrate(features(mine, ratios)))
     held = docs.sparkSession.sparkContext.broadcast((ratios, weights))
     plain = docs.drop("score", "predicted")
     names = plain.columns
@@ -148,9 +157,9 @@ def score(docs: DataFrame, labels: DataFrame, use: str = "true", fold: str = "pm
             at = 0
             while at < batch.num_rows:  # slices of about a million characters
                 texts, size = [], 0
-                low = batch.column(len(names))
+                low_texts = batch.column(len(names))
                 while at + len(texts) < batch.num_rows and (not texts or size < 1 << 20):
-                    texts.append(low[at + len(texts)].as_py())
+                    texts.append(low_texts[at + len(texts)].as_py())
                     size += len(texts[-1])
                 x = [np.clip(v, low_, high) for v, (low_, high, _) in zip(measure(texts, model), _GRID, strict=True)]
                 p = 1 / (1 + np.exp(-np.clip(np.column_stack([*_design(*x), np.ones(len(texts))]) @ w, -30, 30)))
@@ -159,7 +168,7 @@ def score(docs: DataFrame, labels: DataFrame, use: str = "true", fold: str = "pm
                 at += len(texts)
 
     schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return plain.withColumn("_low", F.lower(F.coalesce("text", F.lit("")))).mapInArrow(each, schema)
+    return plain.select("*", _low().alias(unused(names, "low"))).mapInArrow(each, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, use: str = "true", threshold: float = 0.3) -> DataFrame:
