@@ -12,13 +12,14 @@ the range in which the budget ends is refined.  Leaves (not documents) reach the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 RADIX, ROUNDS = 10, 3
 Path = tuple
@@ -35,12 +36,10 @@ def share_out(leaves: dict[Path, Leaf], weights: dict[Path, float], budget: floa
 
     ``weights`` maps a path prefix, e.g. ("web", "en"), to its weight among its siblings; a node that is not listed weighs 1.
     """
-    tree: dict[Path, list[Path]] = {}
+    tree: dict[Path, dict[Path, None]] = {}
     for path in leaves:
         for k in range(len(path)):
-            kids = tree.setdefault(path[:k], [])
-            if path[: k + 1] not in kids:
-                kids.append(path[: k + 1])
+            tree.setdefault(path[:k], {})[path[: k + 1]] = None
 
     room: dict[Path, float] = {}
     for path in sorted({p for kids in tree.values() for p in kids} | {()}, key=len, reverse=True):
@@ -54,7 +53,7 @@ def share_out(leaves: dict[Path, Leaf], weights: dict[Path, float], budget: floa
         while open_:
             total = sum(weights.get(k, 1.0) for k in open_)
             share = {k: left * weights.get(k, 1.0) / total if total else left / len(open_) for k in open_}
-            short = [k for k in open_ if share[k] >= room[k]]
+            short = {k for k in open_ if share[k] >= room[k]}
             if not short:
                 got |= share
                 break
@@ -79,13 +78,12 @@ def count_words(text: str = "text") -> Column:
 
 def _cuts(rows: DataFrame, need: DataFrame) -> dict[str, int]:
     """For each leaf of ``need`` (leaf, want) the largest key of the shortest prefix of rows (leaf, key, tokens) that holds ``want`` tokens."""
-    left = need.withColumn("prefix", F.lit(0).cast("long"))
+    left = need.withColumn("prefix", F.lit(0).cast("long"))  # one row for each leaf
     by_leaf = Window.partitionBy("leaf").orderBy("bucket")
     for level in range(1, ROUNDS + 1):
         shift = 63 - RADIX * level if level < ROUNDS else 0
         width = RADIX if level < ROUNDS else 63 - RADIX * (ROUNDS - 1)
-        known = F.broadcast(left)  # one row for each leaf
-        part = rows.join(known, "leaf").where(F.shiftright("key", shift + width) == F.col("prefix"))
+        part = rows.join(small(left), "leaf").where(F.shiftright("key", shift + width) == F.col("prefix"))
         sums = part.groupBy("leaf", "want", F.shiftright("key", shift).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
         upto = sums.withColumn("upto", F.sum("tokens").over(by_leaf)).where("upto >= want")
         left = upto.groupBy("leaf").agg(F.min(F.struct("bucket", F.expr("want - (upto - tokens)").alias("want"))).alias("x")).select("leaf", "x.want", F.col("x.bucket").alias("prefix"))
@@ -94,18 +92,18 @@ def _cuts(rows: DataFrame, need: DataFrame) -> dict[str, int]:
 
 
 def mix(docs: DataFrame, budget: float, weights: dict[Path, float] | None = None, levels: Sequence[str] = ("domain", "lang", "source"), tokens: Column | None = None, max_epochs: int = 2, seed: int = 1) -> DataFrame:
-    """The input's rows that are selected, with ``epoch`` (0..) and ``n_tokens`` added; a row selected in two epochs comes twice.
+    """The input's rows that are selected, with ``n_tokens`` and ``epoch`` (0..) added (in place of columns of these names); a row selected in two epochs comes twice.
 
     ``budget``: tokens wanted, as a share of all tokens.  ``tokens``: a document's tokens (default: its words).  A leaf's last document may reach beyond its budget
     (a prefix is as short as holds the budget).  Rows of one doc_id have one place in an epoch and are taken together; a
     null level is a node of its own; documents without tokens are taken with the prefix they stand in, or
     with all of a leaf's epochs when the leaf has no tokens at all.  An empty table gives no rows.
     """
-    rows = docs.withColumn("n_tokens", count_words() if tokens is None else tokens).withColumn("leaf", _leaf(levels))
-    small = materialize(rows.select("doc_id", "leaf", "n_tokens"), "leaf-tokens")
-    import json
-
-    totals = {r["leaf"]: int(r["n"]) for r in small.groupBy("leaf").agg(F.sum("n_tokens").alias("n")).collect()}
+    mine = [c for c in docs.columns if c.lower() not in ("n_tokens", "epoch")]
+    # the input's columns in one, whatever their names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in mine]).alias("row"), "doc_id", (count_words() if tokens is None else tokens).alias("n_tokens"), _leaf(levels).alias("leaf"))
+    small_rows = materialize(rows.select("doc_id", "leaf", "n_tokens"), "leaf-tokens")
+    totals = {r["leaf"]: int(r["n"]) for r in small_rows.groupBy("leaf").agg(F.sum("n_tokens").alias("n")).collect()}
     names = {leaf: tuple(None if x == "\0null" else x for x in json.loads(leaf)) for leaf in totals}
     leaves = {names[leaf]: Leaf(n) for leaf, n in totals.items()}
     share_out(leaves, weights or {}, budget * sum(totals.values()), max_epochs)
@@ -121,8 +119,8 @@ def mix(docs: DataFrame, budget: float, weights: dict[Path, float] | None = None
     cuts: dict[str, int] = {}
     if need:
         wanted = spark.createDataFrame(need, "leaf string, whole int, want long")
-        part = small.join(F.broadcast(wanted.select("leaf", "whole")), "leaf").select("leaf", key(F.col("whole")).alias("key"), F.col("n_tokens").alias("tokens"))
+        part = small_rows.join(small(wanted.select("leaf", "whole")), "leaf").select("leaf", key(F.col("whole")).alias("key"), F.col("n_tokens").alias("tokens"))
         cuts = _cuts(part, wanted.select("leaf", "want"))
     chosen = spark.createDataFrame([(leaf, whole, cuts.get(leaf, -1)) for leaf, whole in plan], "leaf string, whole int, cut long")
-    taken = rows.join(F.broadcast(chosen), "leaf").withColumn("times", F.col("whole") + (key(F.col("whole")) <= F.col("cut")).cast("int"))
-    return taken.where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).drop("leaf", "whole", "cut", "times")
+    taken = rows.join(small(chosen), "leaf").withColumn("times", F.col("whole") + (key(F.col("whole")) <= F.col("cut")).cast("int"))
+    return taken.where("times > 0").select("row.*", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))

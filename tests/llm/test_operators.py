@@ -27,7 +27,7 @@ def docs(spark):
     long = some.where("doc_id = 5").first().text
     odd += [(2000, long, "es", "src0", len(long)), (2001, long + " end", "es", "src0", len(long)), (2001, long + " end", "es", "src0", len(long))]
     both = some.union(spark.createDataFrame(odd, some.schema))
-    for name in ("score", "kept", "base", "spans", "epoch", "n", "k", "key", "leaf", "cls"):  # clashing names
+    for name in ("score", "kept", "base", "spans", "epoch", "n", "k", "key", "leaf", "cls", "whole", "cut", "times", "row", "low", "low_", "n_tokens", "toxic", "top", "chunk", "kind", "anchor", "window", "source_", "passage", "m", "logp"):  # clashing names
         both = both.withColumn(name, F.lit("other"))
     return both.cache()
 

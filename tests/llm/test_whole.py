@@ -54,7 +54,7 @@ def test_models_take_their_slots_from_the_count(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     marks = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
     small = lambda order: ngrams.Shape(order=order, bits=8, slot_bits=4)
-    for model in (perplexity.train(docs, small(3)), toxicity.train(docs, marks, small(3)), langid.train(docs, small(3))):
+    for model in (perplexity.train(docs, small(3)), toxicity.train(toxicity.labelled(docs, marks), small(3)), langid.train(docs, small(3))):
         assert 1 << model.shape.slot_bits >= 1024 * len(model.slots) > 1024 * 1000
 
 
