@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_of
+from .common import materialize, rows_of, small
 from .ngrams import Counter, Shape, lower, slot
 
 SHAPE = Shape(order=4, bits=12, slot_bits=20)
@@ -79,10 +79,11 @@ def text_evidence(pages: DataFrame, model: TextModel, key: str, temper: float) -
                 part = batch.slice(lo, 128)
                 texts = part.column(1).to_pylist()
                 keys, words, starts = m.shape.word_keys(texts)
-                want = m.shape.slots(0, keys)
+                some, inverse = np.unique(keys, return_inverse=True)
+                want = m.shape.slots(0, some)
                 at = np.minimum(np.searchsorted(m.slots, want), max(len(m.slots) - 1, 0))
                 hit = m.slots[at] == want if len(m.slots) else np.zeros(len(want), bool)
-                v = m.values[at] * hit[:, None] if len(m.slots) else np.zeros((len(want), len(m.languages)))
+                v = (m.values[at] * hit[:, None])[inverse] if len(m.slots) else np.zeros((len(keys), len(m.languages)))
                 sums = np.add.reduceat(v.astype(np.float64), words[starts]) * temper
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(sums), pa.list_(pa.float64()))], schema=schema)
 
@@ -117,14 +118,14 @@ def identify(pages: DataFrame, labelled: DataFrame, temper: float = 0.2, kappa:
     seen = materialize(seen.withColumn("vote", F.expr("array_position(loglik, array_max(loglik)) - 1").cast("int")), "evidence")
 
     def counts(*by: str) -> DataFrame:
-        return seen.groupBy(*by).agg(F.array(*[F.sum((F.col("vote") == m).cast("double")) for m in range(k)]).alias("c"))
+        return materialize(seen.groupBy(*by).agg(F.array(*[F.sum((F.col("vote") == m).cast("double")) for m in range(k)]).alias("c")), "votes")
 
     # a page's own vote is not evidence for itself
     less = "transform({c}, (x, i) -> greatest(x - if(i = vote, 1D, 0D), 0D))"
     total = counts().select(F.col("c").alias("c_all"))  # one row
-    out = seen.crossJoin(F.broadcast(total))
+    out = seen.crossJoin(F.broadcast(total))  # one row
     for by, name in ((["site"], "c_site"), (["host"], "c_host"), (["declared"], "c_declared"), (["suffix"], "c_suffix")):
-        out = out.join(counts(*by).withColumnRenamed("c", name), by)
+        out = out.join(small(counts(*by).withColumnRenamed("c", name)), by)  # written first, so that a hot value's rows can be split where both sides are shuffled
     for name in ("c_all", "c_site", "c_host", "c_declared", "c_suffix"):
         out = out.withColumn(name, F.expr(less.format(c=name)))
     add = lambda c: f"aggregate({c}, 0D, (a, x) -> a + x)"
