@@ -128,7 +128,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     next document by the row whose needed prefix, then fingerprint, is smallest.  A single id is its own next.
     """
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_SMALLEST)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    linked = docs.join(_senders(docs), "k")
+    linked = docs.join(_senders(docs).hint("merge"), "k")  # the same plan at every size
     gifts = linked.select("to", F.struct(F.expr("left(text, need)").alias("prefix"), words("text").alias("w")).alias("next"))
     gifts = materialize(gifts.groupBy("to").agg(F.min("next").alias("next")), "next-prefixes")
     own = docs.join(gifts, docs["k"] == gifts["to"]).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -113,7 +113,7 @@ class Counter:
     SCHEMA = "m long, key long, n long"
     ARROW = pa.schema([("m", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 750_000):
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.held, self.most = 0, most
 

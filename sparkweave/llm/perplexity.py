@@ -68,7 +68,7 @@ def language_key(lang: str | None) -> int:
     return -1 if lang is None else int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[list[tuple]]:
+def _chunks(batches: Iterator[pa.RecordBatch], chars: int = 1 << 19) -> Iterator[list[tuple]]:
     held, size = [], 0
     for doc_id, text, lang in rows_of(batches, "doc_id", "text", "lang"):
         held.append((doc_id, text, lang))
