@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .functions import statistics
 from .operators import update
 from .plans import mapping
-from .plans.algebra import Id, Pattern, Select, Term, Text, Var
+from .plans.algebra import DeleteData, DeleteWhere, Id, Insert, Pattern, Rename, Select, Term, Text, Var
 from .plans.compiler import Compiler
 from .plans.parser import parse
+from .sources import raw
 from .sources.store import TERMS, Store, clean, new_path, predicate_stats
 
 _opened: dict[tuple[str, str], Engine] = {}
@@ -19,8 +20,9 @@ _opened: dict[tuple[str, str], Engine] = {}
 class Engine:
     """``triples`` for queries; ``by_o`` the same in the other order, where a store has it."""
 
-    def __init__(self, triples: DataFrame, terms: DataFrame | None = None, predicates: dict[int, str] | None = None, by_o: DataFrame | None = None, stats: dict[int, tuple[int, int, int]] | None = None):
-        self.triples, self.by_o, self._stats = triples, by_o if by_o is not None else triples, stats
+    def __init__(self, triples: DataFrame, terms: DataFrame | None = None, predicates: dict[int, str] | None = None, by_o: DataFrame | None = None, stats: dict[int, tuple[int, int, int]] | None = None, snapshot: update.Snapshot | None = None):
+        self.snapshot = snapshot or update.Snapshot(triples, by_o if by_o is not None else triples)
+        self.triples, self.by_o, self._stats = self.snapshot.triples("by_s"), self.snapshot.triples("by_o"), stats
         self.terms = terms if terms is not None else triples.sparkSession.createDataFrame([], TERMS)
         self.predicates = predicates or {}
         self.spark: SparkSession = triples.sparkSession
@@ -43,31 +45,52 @@ class Engine:
             _opened[key] = cls.of_store(Store.write(triples, new_path(spark, "graph"), terms), mapping.PREDICATES)
         return _opened[key]
 
+    @classmethod
+    def build(cls, spark: SparkSession, facts: str, path: str) -> Engine:
+        """A store at ``path`` from raw binary fact files, opened."""
+        return cls.of_store(Store.write(raw.read_binary(spark, facts), path))
+
     @classmethod
     def of(cls, triples: DataFrame) -> Engine:
         return cls(clean(triples))
 
     # use
-    def query(self, text: str) -> DataFrame:
+    def query(self, text: str, product: bool = False) -> DataFrame:
+        """Bindings of a SELECT.  ``product``: patterns that share no variable may be combined whatever their sizes (see ``compiler.MOST``)."""
         q = parse(text)
         if not isinstance(q, Select):
             raise ValueError("an update is not a query")
-        return self._compiler().select(q)
+        return self._compiler(product).select(q)
 
     def update(self, text: str) -> Engine:
         """The next snapshot; this one stays as it is."""
         statement = parse(text)
         if isinstance(statement, Select):
             raise ValueError("a query is not an update")
-        numbered = self._compiler().numbered
-        for name in ("triples", "pattern", "old", "new"):
-            if hasattr(statement, name):
-                given = getattr(statement, name)
-                setattr(statement, name, [numbered(p) for p in given] if isinstance(given, list) else numbered(given))
-        return Engine(update.apply(self.triples, statement), self.terms, self.predicates)
+        compiler, terms, predicates = self._compiler(), self.terms, self.predicates
+        if isinstance(statement, Insert):
+            new = _NewTerms(self)
+            given = [new.numbered(t) for t in statement.triples]
+            terms, predicates = new.terms(), new.predicates
+            statement = Insert(given)
+        elif isinstance(statement, DeleteData):  # a triple with an unknown constant is not there
+            statement = DeleteData([t for p in statement.triples if (t := compiler.known(p)) is not None])
+        elif isinstance(statement, DeleteWhere):
+            pattern = compiler.known(statement.pattern)
+            if pattern is None:
+                return self
+            statement = DeleteWhere(pattern)
+        elif isinstance(statement, Rename):
+            old = compiler.known(statement.old)
+            if old is None:
+                return self
+            new = _NewTerms(self)
+            statement = Rename(old, new.numbered(statement.new))
+            terms, predicates = new.terms(), new.predicates
+        return Engine(self.triples, terms, predicates, snapshot=update.apply(self.snapshot, statement))
 
     def save(self, path: str) -> Engine:
-        """Write this snapshot as a new version (which also compacts what updates left) and open it."""
+        """Write this snapshot as a new version, base and delta in one, and open it."""
         return Engine.of_store(Store.write(self.triples, path, self.terms), self.predicates)
 
     # lookups
@@ -97,13 +120,15 @@ class Engine:
             return self.predicate_id(term.value)
         return self.id_of(term.value, pid)
 
-    def _selectivity(self, patterns: list[Pattern]) -> list[int]:
-        """Triples of each pattern's constants.  A predicate alone is known; what else is asked is counted in one job."""
+    def _selectivity(self, patterns: list[Pattern]) -> list[tuple[int, dict[str, tuple[int, int]]]]:
+        """Triples of each pattern's constants, and the ranges of s and o among them.  A predicate alone is known; what else is asked is counted in one job."""
         counts = self.counts()
         wanted = [tuple(t.value if isinstance(t, Id) else None for t in p.terms) for p in patterns]
-        harder = sorted({w for w in wanted if w[0] is not None or w[2] is not None}, key=repr)
-        found = dict(zip(harder, statistics.matching(self.triples, harder), strict=True)) if harder else {}
-        return [found[w] if w in found else counts.get(w[1], 0) if w[1] is not None else sum(counts.values()) for w in wanted]
+        found = {}
+        for place, frame in ((0, self.triples), (2, self.by_o)):  # through the order that serves the constants
+            harder = sorted({w for w in wanted if w[place] is not None and (place == 0 or w[0] is None)}, key=repr)
+            found |= dict(zip(harder, statistics.matching(frame, harder), strict=True))
+        return [found[w] if w in found else (counts.get(w[1], 0) if w[1] is not None else sum(counts.values()), {}) for w in wanted]
 
     def _distinct(self, pattern: Pattern, var: str) -> int:
         """Distinct values of a variable in its position of the pattern's predicate."""
@@ -114,5 +139,45 @@ class Engine:
             return self.stats().get(pattern.p.value, (0, 1, 1))[place]
         return sum(x[place] for x in self.stats().values())
 
-    def _compiler(self) -> Compiler:
-        return Compiler(lambda order: self.by_o if order == "by_o" else self.triples, self._resolve, self._selectivity, self._distinct)
+    def _compiler(self, product: bool = False) -> Compiler:
+        return Compiler(lambda order: self.by_o if order == "by_o" else self.triples, self._resolve, self._selectivity, self._distinct, product)
+
+
+class _NewTerms:
+    """Numbers for the texts of an update: those of the dictionary, and new ones beyond it."""
+
+    def __init__(self, engine: Engine):
+        self.engine, self.predicates, self.fresh = engine, dict(engine.predicates), {}
+        self.next: int | None = None
+
+    def numbered(self, pattern: Pattern) -> Pattern:
+        pred = self._predicate(pattern.p)
+        pid = pred.value if isinstance(pred, Id) else None
+        return Pattern(self._node(pattern.s, pid), pred, self._node(pattern.o, pid))
+
+    def _predicate(self, term: Term) -> Term:
+        if not isinstance(term, Text):
+            return term
+        known = next((p for p, n in self.predicates.items() if n == term.value), None)
+        if known is None:
+            known = max([0, *self.predicates, *self.engine.stats()]) + 1
+            self.predicates[known] = term.value
+        return Id(known)
+
+    def _node(self, term: Term, pid: int | None) -> Term:
+        if not isinstance(term, Text):
+            return term
+        found = self.fresh.get((pid, term.value)) or self.engine.id_of(term.value, pid)
+        if found is None:
+            if self.next is None:
+                top = self.engine.terms.agg(F.max("id")).first()[0]
+                self.next = (top if top is not None else statistics.entities(self.engine.triples).agg(F.max("id")).first()[0] or 0) + 1
+            found, self.next = self.next, self.next + 1
+            self.fresh[pid, term.value] = found
+        return Id(found)
+
+    def terms(self) -> DataFrame:
+        if not self.fresh:
+            return self.engine.terms
+        rows = [(n, pid, text) for (pid, text), n in self.fresh.items()]
+        return self.engine.terms.unionByName(self.engine.spark.createDataFrame(rows, TERMS))

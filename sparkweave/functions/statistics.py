@@ -32,8 +32,8 @@ def predicates(triples: DataFrame) -> DataFrame:
     return triples.select("p").distinct()
 
 
-def matching(triples: DataFrame, wanted: Sequence[tuple[int | None, int | None, int | None]]) -> list[int]:
-    """Triples that match each (s, p, o) with None for any, all counted in one job."""
+def matching(triples: DataFrame, wanted: Sequence[tuple[int | None, int | None, int | None]]) -> list[tuple[int, dict[str, tuple[int, int]]]]:
+    """For each (s, p, o), with None for any: how many triples match, and the smallest and largest s and o among them; all in one job."""
     if not wanted:
         return []
 
@@ -47,5 +47,11 @@ def matching(triples: DataFrame, wanted: Sequence[tuple[int | None, int | None,
     any_ = tests[0]
     for t in tests[1:]:
         any_ = any_ | t
-    row = triples.where(any_).agg(*[F.coalesce(F.sum(t.cast("long")), F.lit(0)).alias(f"n{i}") for i, t in enumerate(tests)]).first()
-    return list(row)
+    sums = [F.count(F.when(t, 1)) for t in tests]
+    ends = [f(F.when(t, F.col(c))) for t in tests for c in "so" for f in (F.min, F.max)]
+    row = list(triples.where(any_).agg(*[x.alias(f"c{i}") for i, x in enumerate(sums + ends)]).first())
+    out = []
+    for i, n in enumerate(row[: len(tests)]):
+        low_s, high_s, low_o, high_o = row[len(tests) + 4 * i : len(tests) + 4 * i + 4]
+        out.append((n, {"s": (low_s, high_s), "o": (low_o, high_o)} if n else {}))
+    return out

@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..sources.store import new_path
-
-
-def _written(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    path = new_path(spark, "reach")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.store import written
 
 
 def reaching(triples: DataFrame, target: int, via: int) -> DataFrame:
@@ -24,7 +17,7 @@ def reaching(triples: DataFrame, target: int, via: int) -> DataFrame:
     frontier = spark.createDataFrame([(int(target),)], "node long")
     seen = frontier
     while True:
-        frontier = _written(edges.join(frontier, "node", "left_semi").selectExpr("s as node").distinct().join(seen, "node", "left_anti"))
+        frontier = written(edges.join(frontier, "node", "left_semi").selectExpr("s as node").distinct().join(seen, "node", "left_anti"), "reach")
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)

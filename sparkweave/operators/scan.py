@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..plans.algebra import Id, Pattern, Var
 
 
-def scan(triples: DataFrame, pattern: Pattern) -> DataFrame:
+def scan(triples: DataFrame, pattern: Pattern, bounds: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """One bigint column for each variable of the pattern, one row for each matching triple.
 
     Constants become filters that reach the Parquet scan; a predicate prunes folders.  A variable
     that stands twice is an equality.  A pattern of constants gives a row without columns for its triple.
+    ``bounds``: smallest and largest value of variables; they reach the scan too, where they rule out files and row groups.
     """
     columns: dict[str, F.Column] = {}
     for c, term in zip("spo", pattern.terms, strict=True):
@@ -20,6 +21,8 @@ def scan(triples: DataFrame, pattern: Pattern) -> DataFrame:
             triples = triples.where(F.col(c) == F.lit(term.value))
         elif isinstance(term, Var):
             value = F.col(c).cast("long")
+            if c != "p" and term.name in (bounds or {}):
+                triples = triples.where(F.col(c).between(*bounds[term.name]))
             if term.name in columns:
                 triples = triples.where(columns[term.name] == value)
             else:

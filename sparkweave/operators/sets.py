@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,8 @@ def counted(df: DataFrame) -> DataFrame:
 
 def duplicated(df: DataFrame) -> DataFrame:
     """Rows that occur more than once, as often as they do."""
-    return df.withColumn(" n", F.count(F.lit(1)).over(Window.partitionBy(*df.columns))).where(F.col(" n") > 1).drop(" n")
+    some = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(" n")).where(F.col(" n") > 1)
+    return some.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col(" n"))).alias(" n")).drop(" n")
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:

@@ -15,13 +15,17 @@ from . import planner
 from .algebra import Among, Compare, Filter, Group, Id, Pattern, Reaches, Select, Term, Text, Var
 
 
+#: rows that a product of patterns without a common variable may have when none was asked for
+MOST = 1_000_000_000
+
+
 class Unknown(Exception):
     """A constant that the dictionary lacks: its group has no answers."""
 
 
 class Compiler:
-    def __init__(self, layout: Callable[[str], DataFrame], resolve: Callable[[Term, str, int | None], int | None], count: Callable[[list[Pattern]], list[int]], distinct: Callable[[Pattern, str], int] | None = None):
-        self.layout, self.resolve, self.count, self.distinct = layout, resolve, count, distinct
+    def __init__(self, layout: Callable[[str], DataFrame], resolve: Callable[[Term, str, int | None], int | None], count: Callable[[list[Pattern]], list[tuple[int, dict[str, tuple[int, int]]]]], distinct: Callable[[Pattern, str], int] | None = None, product: bool = False):
+        self.layout, self.resolve, self.count, self.distinct, self.product = layout, resolve, count, distinct, product
 
     # constants
     def number(self, term: Term, place: str, pid: int | None = None) -> Term:
@@ -37,38 +41,46 @@ class Compiler:
         pid = pred.value if isinstance(pred, Id) else None
         return Pattern(self.number(p.s, "s", pid), pred, self.number(p.o, "o", pid))
 
+    def known(self, p: Pattern) -> Pattern | None:
+        """The pattern in numbers, or None when the dictionary lacks a constant of it."""
+        try:
+            return self.numbered(p)
+        except Unknown:
+            return None
+
     # groups
     def group(self, g: Group, outer: frozenset[str] = frozenset()) -> DataFrame:
-        """Bindings of a group; an empty frame with its variables when a constant or filter variable rules answers out."""
+        return self.bindings(g, outer)[0]
+
+    def bindings(self, g: Group, outer: frozenset[str] = frozenset()) -> tuple[DataFrame, set[str]]:
+        """Bindings of a group, and the variables that some of them may leave unbound; an empty frame with its variables when a
+        constant or filter variable rules answers out."""
         inner = g.variables()
         if any(name not in inner | outer for f in g.filters for name in _variables(f)):
-            return self.nothing(inner)
+            return self.nothing(inner), set()
         try:
-            out = self.patterns([self.numbered(p) for p in g.patterns])
+            out, maybe = self.patterns([self.numbered(p) for p in g.patterns]), set()
             for branches in g.unions:
-                both = self.group(branches[0])
+                both, unsure = self.bindings(branches[0])
                 for b in branches[1:]:
-                    both = sets.union_all(both, self.group(b))
-                maybe = {v for b in branches for v in b.variables() if any(v not in c.variables() for c in branches)}
-                if out is not None and maybe & set(out.columns):
-                    raise NotImplementedError(f"variables bound in only some branches of a UNION cannot join: {sorted(maybe & set(out.columns))}")
-                out = both if out is None else join.natural(out, both)
-            bound = set(out.columns) if out is not None else set()
-            free: set[str] = set()
+                    more, also = self.bindings(b)
+                    unsure = unsure | also | (set(both.columns) ^ set(more.columns))
+                    both = sets.union_all(both, more)
+                out, maybe = (both, unsure) if out is None else join.compatible(out, both, maybe, unsure)
             for o in g.optionals:
-                if out is None:
-                    raise NotImplementedError("OPTIONAL needs patterns before it")
-                if clash := o.variables() & free:
-                    raise NotImplementedError(f"variables of an OPTIONAL may not join with another's: {sorted(clash)}")
-                free |= o.variables() - bound
-                out = join.optional(out, self.group(o, frozenset(bound)))
+                found, unsure = self.bindings(o, frozenset(out.columns if out is not None else ()))
+                if out is None:  # nothing before it: one binding without variables
+                    out, maybe = found.sparkSession.range(1).select(), set()
+                new = set(found.columns) - set(out.columns)
+                out, maybe = join.compatible(out, found, maybe, unsure, "left")
+                maybe = maybe | new
             if out is None:
-                return self.nothing(inner)
+                return self.nothing(inner), set()
             for f in g.filters:
                 out = self.filter(out, f)
-            return out
+            return out, maybe
         except Unknown:
-            return self.nothing(inner)
+            return self.nothing(inner), set()
 
     def nothing(self, names: set[str]) -> DataFrame:
         spark = self.layout("by_s").sparkSession
@@ -77,15 +89,29 @@ class Compiler:
     def patterns(self, patterns: list[Pattern]) -> DataFrame | None:
         if not patterns:
             return None
-        ordered = patterns
+        ordered, bounds, sizes = patterns, {}, {}
         if len(patterns) > 1:
-            costs = dict(zip(patterns, self.count(patterns), strict=True))
-            ordered = planner.order(patterns, costs.__getitem__, self.distinct)
+            found = dict(zip(patterns, self.count(patterns), strict=True))
+            sizes = {p: n for p, (n, _) in found.items()}
+            ordered = planner.order(patterns, sizes.__getitem__, self.distinct)
+            for p, (_, ranges) in found.items():  # what constants leave of a variable bounds the scans of the other patterns
+                for place, term in zip("spo", p.terms, strict=True):
+                    if isinstance(term, Var) and place in ranges:
+                        low, high = bounds.get(term.name, ranges[place])
+                        bounds[term.name] = max(low, ranges[place][0]), min(high, ranges[place][1])
         gates = [p for p in ordered if not p.variables]
         rest = [p for p in ordered if p.variables]
         out: DataFrame | None = None
+        rows, seen = 1, set()
         for p in rest:
-            one = scan(self.layout(order_for(p)), p)
+            one = scan(self.layout(order_for(p)), p, bounds)
+            if out is not None and not p.variables & seen:
+                rows *= sizes[p]
+                if rows > MOST and not self.product:
+                    raise ValueError(f"about {rows} combinations of patterns without a common variable; ask for them with product=True")
+            else:
+                rows = max(rows, sizes.get(p, 1))
+            seen |= p.variables
             out = one if out is None else join.natural(out, one)
         for p in gates:  # triples that only have to be there
             found = scan(self.layout(order_for(p)), p)

@@ -10,6 +10,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import dictionary
+from ..sources.store import written
+
 TAG = 10**15
 LITERAL = 13
 
@@ -58,26 +61,44 @@ FOLLOWS = (20, "follows", "conversations")
 PREDICATES = {r.pid: r.name for r in RULES} | {FOLLOWS[0]: FOLLOWS[1]}
 
 
-def ctes(table) -> str:  # noqa: ANN001
-    """``WITH`` text that defines terms(id, p, lex), preds(pid, name) and triples(s, p, o); ``table`` maps a table's name to SQL."""
-    lits = " UNION ".join(f"SELECT {r.pid} AS p, CAST({r.o} AS VARCHAR(65535)) AS lex FROM {table(r.table)} WHERE {r.o} IS NOT NULL" for r in RULES if r.literal)
-    links = [f"SELECT {r.s} AS s, {r.pid} AS p, {r.o} AS o FROM {table(r.table)}" for r in RULES if not r.literal]
-    links += [f"SELECT {r.s} AS s, {r.pid} AS p, t.id AS o FROM {table(r.table)} JOIN terms t ON t.p = {r.pid} AND t.lex = {r.o}" for r in RULES if r.literal]
-    turn = lambda a: node(11, f"CAST({a}.conv_id AS BIGINT) * 100 + CAST({a}.turn AS BIGINT)")
-    links.append(f"SELECT {turn('b')} AS s, {FOLLOWS[0]} AS p, {turn('a')} AS o FROM {table(FOLLOWS[2])} a JOIN {table(FOLLOWS[2])} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
-    names = " UNION ALL ".join(f"SELECT {p} AS pid, '{n}' AS name" for p, n in PREDICATES.items())
-    return (
-        f"WITH lits AS ({lits}), terms AS (SELECT {LITERAL * TAG} + CAST(DENSE_RANK() OVER (ORDER BY p, lex) AS BIGINT) AS id, p, lex FROM lits), "
-        f"preds AS ({names}), triples AS (SELECT s, p, o FROM ({' UNION '.join(links)}) x WHERE s IS NOT NULL AND o IS NOT NULL)"
-    )
+_RANKED = f"SELECT {LITERAL * TAG} + CAST(DENSE_RANK() OVER (ORDER BY p, lex) AS BIGINT) AS id, p, lex FROM lits"
+
+
+def _lits(table, text: str = "VARCHAR") -> str:  # noqa: ANN001
+    return " UNION ".join(f"SELECT {r.pid} AS p, CAST({r.o} AS {text}) AS lex FROM {table(r.table)} WHERE {r.o} IS NOT NULL" for r in RULES if r.literal)
+
+
+def _links(table, only: tuple[int, ...] = ()) -> list[str]:  # noqa: ANN001
+    """One SELECT for the triples of each rule, or of those of ``only``."""
+    rules = [r for r in RULES if not only or r.pid in only]
+    links = [f"SELECT {r.s} AS s, {r.pid} AS p, {r.o} AS o FROM {table(r.table)}" for r in rules if not r.literal]
+    links += [f"SELECT {r.s} AS s, {r.pid} AS p, t.id AS o FROM {table(r.table)} JOIN terms t ON t.p = {r.pid} AND t.lex = {r.o}" for r in rules if r.literal]
+    if not only or FOLLOWS[0] in only:
+        turn = lambda a: node(11, f"CAST({a}.conv_id AS BIGINT) * 100 + CAST({a}.turn AS BIGINT)")
+        links.append(f"SELECT {turn('b')} AS s, {FOLLOWS[0]} AS p, {turn('a')} AS o FROM {table(FOLLOWS[2])} a JOIN {table(FOLLOWS[2])} b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+    return links
 
 
 def load(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(triples, terms) of the tables in a folder."""
-    text = ctes(lambda name: f"parquet.`{sf_dir}/{name}.parquet`").replace("VARCHAR(65535)", "STRING")
-    return spark.sql(f"{text} SELECT s, p, o FROM triples"), spark.sql(f"{text} SELECT id, p, lex FROM terms")
+    """(triples, terms) of the tables in a folder; triples may repeat, a store makes them a set.
+
+    Literals are numbered as by a dense rank over (p, lex), in parallel ranges.
+    """
+    table = lambda name: f"parquet.`{sf_dir}/{name}.parquet`"
+    numbers = dictionary.build(spark.sql(_lits(table, "STRING")).selectExpr("concat(lpad(p, 5, '0'), lex) as lex"), LITERAL * TAG + 1)
+    terms = written(numbers.selectExpr("id", "cast(left(lex, 5) as int) as p", "substring(lex, 6) as lex"), "terms")
+    triples = spark.sql(f"SELECT s, p, o FROM ({' UNION ALL '.join(_links(table))}) x WHERE s IS NOT NULL AND o IS NOT NULL".replace("terms t", "{terms} t"), terms=terms)
+    return triples, terms
+
 
+def oracle(select: str, steps: dict[str, str] | None = None, only: tuple[int, ...] = ()) -> str:
+    """SQL for an independent engine that has the tables as views: ``select`` over lits, terms(id, p, lex), preds(pid, name) and triples(s, p, o).
 
-def oracle(select: str) -> str:
-    """SQL for an independent engine that has the tables as views."""
-    return f"{ctes(lambda name: name).replace('VARCHAR(65535)', 'VARCHAR')} {select}"
+    ``steps``: named intermediate results, each computed once; ``only``: the predicates that triples is made of (default: all).
+    """
+    names = " UNION ALL ".join(f"SELECT {p} AS pid, '{n}' AS name" for p, n in PREDICATES.items())
+    more = "".join(f", {name} AS MATERIALIZED ({sql})" for name, sql in (steps or {}).items())
+    return (
+        f"WITH lits AS ({_lits(str)}), terms AS ({_RANKED}), preds AS ({names}), "
+        f"triples AS {'MATERIALIZED ' if steps else ''}(SELECT s, p, o FROM ({' UNION '.join(_links(str, only))}) x WHERE s IS NOT NULL AND o IS NOT NULL){more} {select}"
+    )

@@ -77,7 +77,14 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """(s, p, o) texts of N-Triples lines: IRIs without brackets, literals without quotes, language and datatype; bad lines are skipped."""
     lines = spark.read.text(path).where(F.col("value").rlike(_NT))
     bare = lambda c: F.regexp_replace(c, r'^[<"]|[>"]$', "")
-    return lines.select(*[bare(F.regexp_extract("value", _NT, i)).alias(c) for i, c in enumerate("spo", 1)])
+    return lines.select(*[_unescaped(bare(F.regexp_extract("value", _NT, i))).alias(c) for i, c in enumerate("spo", 1)])
+
+
+def _unescaped(text: F.Column) -> F.Column:
+    """Escapes of strings and IRIs read (quotes, controls, code points up to FFFF): a JSON reader knows all but two of them."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\\'", "'"), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
+    quoted = F.concat(F.lit('{"v":"'), F.regexp_replace(plain, "\t", r"\\t"), F.lit('"}'))
+    return F.when(text.contains("\\"), F.coalesce(F.from_json(quoted, "v string")["v"], text)).otherwise(text)
 
 
 def drop_reified(facts: DataFrame) -> DataFrame:

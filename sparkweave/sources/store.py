@@ -10,13 +10,11 @@ from pyspark.sql import types as T
 
 TRIPLES = T.StructType([T.StructField("s", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("o", T.LongType())])
 TERMS = T.StructType([T.StructField("id", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("lex", T.StringType())])
-#: rows that one file of a predicate holds; a predicate with more is spread over as many tasks
-ROWS_PER_FILE = 4_000_000
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder under /tmp/checkpoints only where the session has none."""
+    """``spark.checkpoint.dir``; only a session on one machine may lack it and then uses a folder under /tmp/checkpoints."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/") if base else f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
@@ -24,6 +22,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once into the shared folder and read back: what follows does not carry its plan."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clean(triples: DataFrame) -> DataFrame:
     """A set of (s bigint, p int, o bigint) without nulls."""
     return triples.select(F.col("s").cast("long"), F.col("p").cast("int"), F.col("o").cast("long")).dropna().dropDuplicates()
@@ -44,23 +49,20 @@ class Store:
 
     @classmethod
     def write(cls, triples: DataFrame, path: str, terms: DataFrame | None = None) -> Store:
-        """Write a new version.  The number of files of a predicate follows its rows, so a frequent one is no single task."""
+        """Write a new version: two exchanges by ranges of (p, s, o) and of (p, o, s).
+
+        Files hold ranges that do not overlap, so a subject or object is looked up in one file of a predicate, and a frequent predicate is spread over many.
+        The first exchange also removes duplicates: equal triples are in one range.
+        """
         spark = triples.sparkSession
-        once = f"{path}/staged"
-        clean(triples).write.parquet(once)
-        rows = spark.read.schema(TRIPLES).parquet(once)
-        stats = predicate_stats(rows)
-        sizes = {p: x[0] for p, x in stats.items()}
-        files = {p: -(-n // ROWS_PER_FILE) for p, n in sizes.items()}
-        most = max(files.values(), default=1)
-        spread = F.create_map(*[F.lit(x) for pair in files.items() for x in pair])[F.col("p")] if most > 1 else F.lit(1)
+        rows = triples.select(F.col("s").cast("long"), F.col("p").cast("int"), F.col("o").cast("long")).dropna()
         for name, (a, b) in {"by_s": ("s", "o"), "by_o": ("o", "s")}.items():
-            dealt = rows.withColumn("_part", F.pmod(F.xxhash64(a), spread)).repartition(max(1, sum(files.values())), "p", "_part").drop("_part")
-            dealt.sortWithinPartitions("p", a, b).write.partitionBy("p").parquet(f"{path}/{name}")
+            ranged = rows.repartitionByRange("p", a, b)
+            ranged = ranged.dropDuplicates() if name == "by_s" else ranged
+            ranged.sortWithinPartitions("p", a, b).write.partitionBy("p").parquet(f"{path}/{name}")
+            rows = cls(spark, path).triples("by_s")
         (terms if terms is not None else spark.createDataFrame([], TERMS)).select("id", F.col("p").cast("int"), "lex").write.parquet(f"{path}/terms")
-        store = cls(spark, path)
-        store._stats = stats
-        return store
+        return cls(spark, path)
 
     def triples(self, order: str = "by_s") -> DataFrame:
         return self.spark.read.schema(TRIPLES).parquet(f"{self.path}/{order}").select("s", "p", "o")

@@ -1,12 +1,15 @@
+import io
 import itertools
 import random
 from collections import Counter
 
 import pytest
 
+from sparkweave import cli
 from sparkweave.engine import Engine
 from sparkweave.functions import dictionary, statistics
-from sparkweave.plans.algebra import Id, Var
+from sparkweave.plans import compiler
+from sparkweave.plans.algebra import Id
 from sparkweave.plans.parser import parse
 from sparkweave.sources import raw
 from sparkweave.sources.store import TRIPLES, Store
@@ -115,7 +118,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("a\tknows\tb\r\nx\t\ty\tz\nbad\tline\n")
     assert rows(raw.read_tsv(spark, str(tmp_path / "t.tsv"))) == Counter([("a", "knows", "b"), ("x", "y", "z")])
     (tmp_path / "t.nt").write_text('<a> <b> "c\\"d"@en .\nnonsense\n_:x <b> <c> . # note\n<s> <http://www.w3.org/1999/02/22-rdf-syntax-ns#subject> <o> .\n')
-    assert rows(raw.drop_reified(raw.read_ntriples(spark, str(tmp_path / "t.nt")))) == Counter([("a", "b", 'c\\"d'), ("_:x", "b", "c")])
+    assert rows(raw.drop_reified(raw.read_ntriples(spark, str(tmp_path / "t.nt")))) == Counter([("a", "b", 'c"d'), ("_:x", "b", "c")])
 
 
 def test_turtle():
@@ -134,12 +137,71 @@ def test_dictionary(spark):
 
 
 def test_statistics(engine):
-    assert statistics.matching(engine.triples, [(1, None, None), (None, 7, 1), (9, 9, 9)]) == [2, 2, 0]
+    assert statistics.matching(engine.triples, [(1, None, None), (None, 7, 1), (9, 9, 9)]) == [(2, {"s": (1, 1), "o": (2, 50)}), (2, {"s": (3, 4), "o": (1, 1)}), (0, {})]
     assert rows(statistics.counts(engine.triples, "p")) == Counter([(6, 3), (7, 5)])
     assert engine.has_entity(50) and not engine.has_entity(7)
 
 
-def test_variables_of_union_must_be_sure(engine):
-    with pytest.raises(NotImplementedError):
-        engine.query("select ?x where { ?x 7 ?y . { ?x 6 ?z } union { ?z 7 ?y } }")
-    assert isinstance(Var("x"), Var)
+def test_unbound_variables_agree_with_any(spark):
+    engine = Engine.of(spark.createDataFrame([(1, 7, 2), (3, 7, 4), (1, 6, 9), (5, 6, 2), (8, 5, 9), (3, 4, 1), (2, 4, 4)], TRIPLES))
+    assert rows(engine.query("select ?x ?y ?z where { ?x 7 ?y . { ?x 6 ?z . } union { ?z 6 ?y . } }")) == Counter([(1, 2, 9), (1, 2, 5)])
+    assert rows(engine.query("select ?x ?z ?w where { ?x 7 ?y . { ?x 6 ?z . } union { ?x 7 ?y . } { ?w 5 ?z . } }")) == Counter([(1, 9, 8), (1, 9, 8), (3, 9, 8)])
+    assert rows(engine.query("select ?x ?z where { ?x 7 ?y . optional { ?x 6 ?z . } optional { ?z 4 ?y . } }")) == Counter([(1, 9), (3, 2)])
+    assert rows(engine.query("select ?x where { optional { ?x 6 9 . } }")) == Counter([(1,)])
+    assert rows(engine.query("select ?x where { optional { ?x 6 99 . } }")) == Counter([(None,)])
+
+
+def test_products_are_guarded(engine, monkeypatch):
+    monkeypatch.setattr(compiler, "MOST", 3)
+    with pytest.raises(ValueError, match="product"):
+        engine.query("select ?a ?b where { ?a 6 51 . ?b 7 ?c . }")
+    assert engine.query("select ?a ?b where { ?a 6 51 . ?b 7 ?c . }", product=True).count() == 5
+
+
+def test_new_terms_and_names(engine):
+    new = engine.update('insert data { "x y" <knows> 5 . "x y" <knows> "z" . }')
+    assert rows(new.query("select ?a where { ?a <knows> 5 . }")) == rows(new.query('select ?a where { ?a <knows> "z" . }')) == Counter([(52,)])
+    assert new.id_of("z") == 53 and new.update('delete { "x y" <knows> ?o . }').triples.count() == 8
+    assert engine.update('delete data { "nosuch" 7 2 . 1 7 2 . }').triples.count() == 7 and engine.update('delete { "nosuch" 7 ?o . }') is engine
+
+
+def test_random_updates(spark):
+    r = random.Random(5)
+    facts = {(r.randint(1, 5), r.randint(1, 3), r.randint(1, 5)) for _ in range(20)}
+    engine = Engine.of(spark.createDataFrame(sorted(facts), TRIPLES))
+    n = lambda k=5: r.randint(1, k)
+    for step in range(14):
+        s, p, o, t = n(), n(3), n(), n()
+        if (kind := step % 5) == 0:
+            text, facts = f"insert data {{ {s} {p} {o} . {t} {p} {o} . }}", facts | {(s, p, o), (t, p, o)}
+        elif kind == 1:
+            text, facts = f"delete {{ ?s {p} {o} . }} insert {{ ?s {p} {t} . }}", {(a, b, t if (b, c) == (p, o) else c) for a, b, c in facts}
+        elif kind == 2:
+            text, facts = f"delete data {{ {s} {p} {o} . {t} {p} {o} . }}", facts - {(s, p, o), (t, p, o)}
+        elif kind == 3:
+            text, facts = f"delete {{ {s} {p} ?o . }} insert {{ {t} {p} ?o . }}", {(t if (a, b) == (s, p) else a, b, c) for a, b, c in facts}
+        else:
+            text, facts = f"delete {{ {s} {p} ?o . }}", {f for f in facts if f[:2] != (s, p)}
+        engine = engine.update(text)
+        assert rows(engine.triples) == rows(engine.by_o) == Counter(facts), text
+
+
+def test_constants_bound_other_scans(spark, engine, tmp_path):
+    saved = engine.save(str(tmp_path / "v3"))
+    plan = saved.query("select ?x ?y where { ?x 6 51 . ?x 7 ?y . }")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(s,3)" in plan and "LessThanOrEqual(s,3)" in plan
+
+
+def test_build_and_shell(spark, tmp_path, monkeypatch, capsys):
+    raw.write_binary(spark.createDataFrame([(1, 6, 61), (1, 6, 61), (2, 6, 3)], TRIPLES), str(tmp_path / "facts"))
+    assert rows(Engine.build(spark, str(tmp_path / "facts"), str(tmp_path / "store")).triples) == Counter([(1, 6, 61), (2, 6, 3)])
+    (tmp_path / "q").write_text("select ?x where { ?x 6 61 . }")
+    monkeypatch.setattr("sys.stdin", io.StringIO(f"dp\nsource {tmp_path}/q\n{tmp_path}/none\nexit\n"))
+    cli.main(str(tmp_path / "store"))
+    said = capsys.readouterr().out
+    assert "6  2" in said and "|1  |" in said and "No such file" in said
+
+
+def test_escapes(spark, tmp_path):
+    (tmp_path / "e.nt").write_text('<a> <b> "t\\u00e9 \\"q\\" \\\\ \\t \\U0000263A \\\'" .\n')
+    assert raw.read_ntriples(spark, str(tmp_path / "e.nt")).first().o == 't\u00e9 "q" \\ \t \u263a \''
