@@ -41,10 +41,10 @@ CHUNK = 1 << 21
 _LOW = np.int64(0xFFFFFFFF)
 _DOCS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-_WINDOWS = pa.schema([("window", pa.int64()), ("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("same", pa.int64()), ("varied", pa.int64())])
+_WINDOWS = pa.schema([("window", pa.int64()), ("chunk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("varied", pa.int64())])
 _PASSAGES = pa.schema([("window", pa.int64()), ("source", pa.int64()), ("passage", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-_SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -166,9 +166,10 @@ def _anchor_rows(chunks: DataFrame, width: int) -> DataFrame:
 
 
 def _window_rows(chunks: DataFrame, marks: DataFrame, width: int) -> DataFrame:
-    """(window, chunk, lo, hi, same, varied): distinct windows at the marked anchors (chunk, anchor) of every chunk.
+    """(window, chunk, lo, hi, before, after, varied): distinct windows at the marked anchors (chunk, anchor) of every chunk.
 
-    ``same`` has the bits that the hashes of the neighbouring words have in common, ``varied`` those that any of them has but not all.
+    ``before`` and ``after`` have the bits that the hashes of the neighbouring words have in common (two columns of few values, which Parquet
+    keeps small), ``varied`` those that any of them has but not all.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def _window_rows(chunks: DataFrame, marks: DataFrame, width: int) -> DataFrame:
             order, first, windows = _groups(w.windows(which))
             doc, near = w.doc[which][order], w.beside(which)[order]
             all_ = np.bitwise_and.reduceat(near, first)
-            columns = [windows, np.full(len(windows), chunk), np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), all_, np.bitwise_or.reduceat(near, first) ^ all_]
+            columns = [windows, np.full(len(windows), chunk), np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), (all_ >> np.int64(32)).astype(np.int32), all_.astype(np.int32), np.bitwise_or.reduceat(near, first) ^ all_]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), schema=_WINDOWS)
 
     return _beside(chunks, marks, ("anchor",)).mapInArrow(each, _ddl(_WINDOWS))
@@ -269,7 +270,8 @@ def stripped(docs: DataFrame, width: int = 13, chunk_bytes: int = CHUNK) -> Data
     drop_table(shared)
     windows = materialize(_window_rows(chunks, marks, width), "windows")
     drop_table(marks)
-    found = windows.groupBy("window").agg(F.min("lo").alias("source"), F.max("hi").alias("last"), F.min_by("chunk", "lo").alias("chunk"), F.bit_and("same").alias("same"), F.bit_or(F.expr("same | varied")).alias("any"))
+    near = "shiftleft(cast(before as long), 32) | (cast(after as long) & 4294967295L)"
+    found = windows.withColumn("same", F.expr(near)).groupBy("window").agg(F.min("lo").alias("source"), F.max("hi").alias("last"), F.min_by("chunk", "lo").alias("chunk"), F.bit_and("same").alias("same"), F.bit_or(F.expr("same | varied")).alias("any"))
     recurring = materialize(found.where("source < last").select("chunk", "window", "source", F.expr("any ^ same").alias("varied")), "recurring")
     passages = materialize(_passages(chunks, recurring, width), "passages")
     drop_table(recurring)
