@@ -6,9 +6,11 @@
    With m > d + SPARE every class emits (group, contents) as block keys, and linked classes meet in a block.  m depends
    on a size band; a class near a band's lower edge also emits the keys of the band below.
 3. Blocks of two or more classes are joined.  First each class with the block's smallest one; what that links needs no further pairs.
-   Members that are still in different components are joined by an R-tree: group counts (``GROUPS`` coordinates) are points, leaves
-   of at most ``LEAF`` points have bounding maxima, and a pair of leaves or points can overlap by at most the sum
-   of the coordinate minima; pairs below the needed overlap are pruned.
+   Members that are still in different components are joined by an R-tree over their group counts (``GROUPS`` coordinates), which is
+   loaded in the order of a block's components and set sizes: boxes of ``BOX`` points, leaves of ``LEAF`` points, and nodes of
+   ``FAN`` leaves or nodes above.  A box keeps the largest value of each coordinate and the range of sizes; two boxes, or a box and a point,
+   can overlap by at most the sum of the coordinate minima, and what cannot reach the needed overlap is not descended into.  Leaves are numbered
+   within ranges and dealt to tasks one by one, so a large block is no single task.
 4. Surviving pairs are verified on their whole sets, and links are closed to components.
 """
 
@@ -19,13 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_text, hashed_words, materialize, mix, rows_of
 from .graph import components
 
-GROUPS, LEAF, SPARE = 1024, 512, 4
+GROUPS, SPARE = 1024, 4
+BOX, LEAF, FAN, LEVELS = 16, 512, 32, 3
 _K = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _SIG = "doc_id long, n long, cls long"
 _SIG_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
@@ -191,65 +195,150 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return near.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "sa", "sb").mapInArrow(links, "a long, b long")
 
 
-def _near(c: np.ndarray, n: np.ndarray, root: np.ndarray, cls: np.ndarray, others: slice | tuple, num: int, den: int) -> Iterator[tuple[int, int]]:
-    """Pairs of points (c, n, root, cls) with ``others`` (the same arrays, or a slice: later ones) that sizes, components and the bound leave."""
-    for i in range(len(n)):
-        oc, on, oroot, ocls = (x[i + 1 :] for x in (c, n, root, cls)) if isinstance(others, slice) else others
-        open_ = np.flatnonzero((oroot != root[i]) & (num * np.maximum(on, n[i]) <= den * np.minimum(on, n[i])))
-        if len(open_):
-            ok = open_[(den + num) * np.minimum(c[i], oc[open_]).sum(axis=1, dtype=np.int64) >= num * (n[i] + on[open_])]
-            yield from ((min(int(cls[i]), int(x)), max(int(cls[i]), int(x))) for x in ocls[ok])
+class CountTree:
+    """Boxes over the points of a leaf: arrays of count vectors, set sizes, components and class numbers."""
 
+    def __init__(self, counts: np.ndarray, n: np.ndarray, root: np.ndarray, cls: np.ndarray):
+        parts, open_ = [], [np.arange(len(n))]
+        while open_:  # halved along the coordinate of the largest spread
+            at = open_.pop()
+            if len(at) <= BOX:
+                parts.append(at)
+                continue
+            axis = int(counts[at].var(axis=0).argmax())
+            order = at[np.argsort(counts[at, axis], kind="stable")]
+            open_ += [order[len(order) // 2 :], order[: len(order) // 2]]
+        order = np.concatenate(parts)
+        self.counts, self.n, self.root, self.cls = counts[order], n[order], root[order], cls[order]
+        self.ends = np.cumsum([len(x) for x in parts])
+        first = self.ends - [len(x) for x in parts]
+        self.first, self.high = first, np.maximum.reduceat(self.counts, first, axis=0)
+        self.small, self.large = np.minimum.reduceat(self.n, first), np.maximum.reduceat(self.n, first)
+
+    def partners(self, c: np.ndarray, n: int, root: int, num: int, den: int, after: int = -1) -> np.ndarray:
+        """Places (beyond ``after``) of points of other components that a point may link with."""
+        open_ = np.flatnonzero((self.ends > after + 1) & (num * n <= den * self.large) & (num * self.small <= den * n))
+        if len(self.ends) > 1 and len(open_):
+            bound = np.minimum(c, self.high[open_]).sum(axis=1, dtype=np.int64)
+            open_ = open_[(den + num) * bound >= num * (n + self.small[open_])]
+        if not len(open_):
+            return open_
+        at = np.concatenate([np.arange(max(a, after + 1), e) for a, e in zip(self.first[open_].tolist(), self.ends[open_].tolist(), strict=True)])
+        at = at[(self.root[at] != root) & (num * np.maximum(self.n[at], n) <= den * np.minimum(self.n[at], n))]
+        return at[(den + num) * np.minimum(c, self.counts[at]).sum(axis=1, dtype=np.int64) >= num * (n + self.n[at])]
+
+    def pairs(self, num: int, den: int, other: CountTree | None = None) -> Iterator[tuple[int, int]]:
+        """Pairs of classes (smaller first) of this leaf, or of this leaf and another, that sizes, components and the bound leave."""
+        for i in range(len(self.n)):
+            tree = other or self
+            for k in tree.partners(self.counts[i], int(self.n[i]), int(self.root[i]), num, den, -1 if other else i).tolist():
+                a, b = int(self.cls[i]), int(tree.cls[k])
+                yield min(a, b), max(a, b)
+
+
+def _leaves(members: DataFrame) -> DataFrame:
+    """members (key, cls, root, n) with ``leaf``: at most LEAF members of one block that follow each other by component and size.
+
+    Ranges of all members are numbered in parallel; a block may go on over several ranges.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, held, key = TaskContext.get().partitionId() << 32, 0, None
+        for batch in batches:
+            keys, leaves = batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int64)
+            cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)].tolist()
+            for a, e in zip(cuts, cuts[1:], strict=False):
+                if a == e:
+                    continue
+                if keys[a] != key:
+                    leaf, held, key = leaf + (key is not None and held > 0), 0, keys[a]
+                place = held + np.arange(e - a)
+                leaves[a:e] = leaf + place // LEAF
+                leaf, held = leaf + (held + e - a) // LEAF, (held + e - a) % LEAF
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves)], names=["key", "cls", "root", "n", "leaf"])
+
+    return members.repartitionByRange("key", "root", "n", "cls").sortWithinPartitions("key", "root", "n", "cls").mapInArrow(number, "key long, cls long, root long, n long, leaf long")
+
+
+def _tree_of(rows: list[tuple]) -> CountTree:
+    n, root, cls = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    return CountTree(_points([r[0] for r in rows]), n, root, cls)
 
-def _small_pairs(points: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs within blocks of one leaf: points (key, cls, root, n, counts) stream in block after block."""
+
+def _within(points: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) within each leaf of points (leaf, cls, root, n, counts), which are dealt by leaf."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         known: set[tuple[int, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            n, root, cls = (np.array(x) for x in zip(*[(r[3], r[2], r[1]) for r in held], strict=True))
-            found = {p for p in _near(_points([r[4] for r in held]), n, root, cls, slice(None), num, den) if p not in known}
+            found = set(_tree_of(held).pairs(num, den)) - known
             known.update(found if len(known) < 1_000_000 else ())
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for row in rows_of(batches, "key", "cls", "root", "n", "counts"):
-            if held and held[0][0] != row[0]:
+        at = None
+        for leaf, *row in rows_of(batches, "leaf", "counts", "n", "root", "cls"):
+            if held and leaf != at:
                 yield flush()
                 held = []
-            held.append(row)
+            at = leaf
+            held.append(tuple(row))
         if held:
             yield flush()
 
-    return points.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(search, "a long, b long")
+    return points.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(search, "a long, b long")
 
 
-def _large_pairs(points: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs within larger blocks: ordered by size they are cut into leaves, and leaf pairs that their bounding maxima rule out are not formed."""
-    leaves = materialize(points.withColumn("leaf", F.expr(f"cast(floor((row_number() over (partition by key order by n, cls) - 1) / {LEAF}) as long)")), "leaves")
+def _boxes(points: DataFrame) -> DataFrame:
+    """(key, leaf, lo, hi, r0, r1, box): sizes, components and largest counts of each leaf."""
 
     def bounds(df: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(df["key"].iloc[0], df["leaf"].iloc[0], df["n"].min(), df["n"].max(), _points(df["counts"]).max(axis=0).tobytes())], columns=["key", "leaf", "lo", "hi", "box"])
+        box = _points(df["counts"]).max(axis=0).astype("<u4").tobytes()
+        return pd.DataFrame([(df["key"].iloc[0], df["leaf"].iloc[0], df["n"].min(), df["n"].max(), df["root"].min(), df["root"].max(), box)], columns=["key", "leaf", "lo", "hi", "r0", "r1", "box"])
+
+    return points.groupBy("key", "leaf").applyInPandas(bounds, "key long, leaf long, lo long, hi long, r0 long, r1 long, box binary")
+
 
-    boxes = leaves.groupBy("key", "leaf").applyInPandas(bounds, "key long, leaf long, lo long, hi long, box binary")
-    x, y = (boxes.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("leaf", "lo", "hi", "box")]) for s in "xy")
+def _between(points: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) between leaves of one block, for points (key, leaf, cls, root, n, counts) of blocks of several leaves: the tree above the leaves, from its top down."""
+    levels = [materialize(_boxes(points), "boxes")]
+    for _ in range(LEVELS - 1):
+        up = levels[-1].withColumn("leaf", F.expr(f"leaf div {FAN}"))
+
+        def joined(df: pd.DataFrame) -> pd.DataFrame:
+            box = np.stack([np.frombuffer(x, "<u4") for x in df["box"]]).max(axis=0).tobytes()
+            return pd.DataFrame([(df["key"].iloc[0], df["leaf"].iloc[0], df["lo"].min(), df["hi"].max(), df["r0"].min(), df["r1"].max(), box)], columns=df.columns)
+
+        levels.append(materialize(up.groupBy("key", "leaf").applyInPandas(joined, up.schema), "nodes"))
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.table(batch)
-            c = [_points(t[k].to_pylist()) for k in ("boxx", "boxy")]
-            ok = (den + num) * np.minimum(c[0], c[1]).sum(axis=1, dtype=np.int64) >= num * (t["lox"].to_numpy() + t["loy"].to_numpy())
-            yield from t.select(["key", "leafx", "leafy"]).filter(pa.array(ok)).to_batches()
-
-    matched = x.join(y, "key").where(f"leafx <= leafy and {num} * loy <= {den} * hix").mapInArrow(open_, "key long, leafx long, leafy long")
+            for lo in range(0, t.num_rows, 1024):
+                part = t.slice(lo, 1024)
+                c = [np.stack([np.frombuffer(x, "<u4") for x in part[k].to_pylist()]) for k in ("boxx", "boxy")]
+                ok = (den + num) * np.minimum(c[0], c[1]).sum(axis=1, dtype=np.int64) >= num * (part["lox"].to_numpy() + part["loy"].to_numpy())
+                yield from part.select(["key", "leafx", "leafy"]).filter(pa.array(ok)).to_batches()
+
+    pairs: DataFrame | None = None
+    for level in reversed(levels):
+        x, y = (level.select(*[F.col(c).alias(c if c == "key" else f"{c}{s}") for c in level.columns]) for s in "xy")
+        if pairs is None:
+            both = x.join(y, "key")
+        else:
+            both = pairs.join(x.withColumn("upx", F.expr(f"leafx div {FAN}")), ["key", "upx"]).join(y.withColumn("upy", F.expr(f"leafy div {FAN}")), ["key", "upy"])
+        apart = "not (r0x = r1x and r0y = r1y and r0x = r0y)"  # all of one component
+        near = both.where(f"leafx <= leafy and {num} * lox <= {den} * hiy and {num} * loy <= {den} * hix and {apart}").mapInArrow(open_, "key long, leafx long, leafy long")
+        pairs = materialize(near, "node-pairs").select("key", F.col("leafx").alias("upx"), F.col("leafy").alias("upy"))
+    matched = pairs.where("upx < upy").select(F.col("upx").alias("leafx"), F.col("upy").alias("leafy"))
 
     def search(both: pd.DataFrame) -> pd.DataFrame:
-        x, y = (tuple([_points(d["counts"]), *[d[c].to_numpy() for c in ("n", "root", "cls")]]) for d in (both[both["side"] == s] for s in "xy"))
-        return pd.DataFrame(sorted(set(_near(*x, y, num, den))), columns=["a", "b"]).astype("int64")
+        trees = [_tree_of(list(zip(*[d[c].tolist() for c in ("counts", "n", "root", "cls")], strict=True))) for d in (both[both["side"] == s] for s in "xy")]
+        return pd.DataFrame(sorted(set(trees[0].pairs(num, den, trees[1]))), columns=["a", "b"]).astype("int64")
 
-    sides = [matched.join(leaves.withColumnRenamed("leaf", f"leaf{s}"), ["key", f"leaf{s}"]).select("key", "leafx", "leafy", "cls", "n", "root", "counts", F.lit(s).alias("side")) for s in "xy"]
-    return sides[0].union(sides[1]).groupBy("key", "leafx", "leafy").applyInPandas(search, "a long, b long")
+    sides = [matched.join(points.withColumnRenamed("leaf", f"leaf{s}"), f"leaf{s}").select("leafx", "leafy", "cls", "n", "root", "counts", F.lit(s).alias("side")) for s in "xy"]
+    return sides[0].union(sides[1]).groupBy("leafx", "leafy").applyInPandas(search, "a long, b long")
 
 
 def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -258,9 +347,15 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     Blocks of one component have nothing to add, and of blocks with the same members one is enough.
     """
     one = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.min("cls").alias("c0"), F.max("cls").alias("c1"))
-    mixed = materialize(one.where("r0 < r1 and size > 2").groupBy("size", "x", "c0", "c1").agg(F.min("key").alias("key")).select("key", "size"), "mixed")
-    points = lambda cond: members.join(mixed.where(cond).select("key"), "key").join(sets.select("cls", "n", "counts"), "cls").select("key", "cls", "root", "n", "counts")
-    return _small_pairs(points(f"size <= {LEAF}"), num, den).union(_large_pairs(points(f"size > {LEAF}"), num, den)).distinct()
+    mixed = materialize(one.where("r0 < r1 and size > 2").groupBy("size", "x", "c0", "c1").agg(F.min("key").alias("key")).select("key"), "mixed")
+    leaves = materialize(_leaves(members.join(mixed, "key").join(sets.select("cls", "n"), "cls").select("key", "cls", "root", "n")), "leaves")
+    counts = sets.select("cls", "counts")
+    inner = _within(leaves.join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den)
+    several = materialize(leaves.groupBy("key").agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1")).where("l0 < l1").select("key"), "large-blocks")
+    if several.isEmpty():
+        return inner.distinct()
+    points = materialize(leaves.join(several, "key").join(counts, "cls").select("key", "leaf", "cls", "root", "n", "counts"), "large-block-points")
+    return inner.union(_between(points, num, den)).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:

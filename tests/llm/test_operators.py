@@ -299,12 +299,13 @@ def test_shingle_join(spark, docs, plain, empty):
 
 
 def test_large_blocks_are_cut_into_leaves(spark, monkeypatch):
-    monkeypatch.setattr(shingle_join, "LEAF", 2)
+    for name, value in (("LEAF", 3), ("BOX", 2), ("FAN", 2)):
+        monkeypatch.setattr(shingle_join, name, value)
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(150)]
     made = []
-    for i in range(14):
-        w = list(base)
+    for i in range(40):
+        w = list(base) + [f"z{k}" for k in range(i % 7)]
         for k in rng.integers(0, 150, 4):
             w[k] = f"v{i}{k}"
         made.append((i, " ".join(w)))
@@ -312,6 +313,24 @@ def test_large_blocks_are_cut_into_leaves(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_components(made)
 
 
+def test_count_tree(monkeypatch):
+    monkeypatch.setattr(shingle_join, "BOX", 4)
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 3, (150, 30)).astype("<u2")
+    counts[75:] = counts[:75]
+    counts[75:, :2] += rng.integers(0, 2, (75, 2)).astype("<u2")
+    n, root, cls = counts.sum(axis=1).astype(np.int64), np.arange(150) // 2, np.arange(1000, 1150)
+
+    def may(i, k):
+        return root[i] != root[k] and 90 * max(n[i], n[k]) <= 100 * min(n[i], n[k]) and 190 * np.minimum(counts[i], counts[k]).sum(dtype=int) >= 90 * (n[i] + n[k])
+
+    want = {(1000 + i, 1000 + k) for i in range(150) for k in range(i + 1, 150) if may(i, k)}
+    whole = shingle_join.CountTree(counts, n, root, cls)
+    assert set(whole.pairs(90, 100)) == want and len(want) > 20
+    x, y = (shingle_join.CountTree(counts[p], n[p], root[p], cls[p]) for p in (slice(0, 75), slice(75, 150)))
+    assert set(x.pairs(90, 100, y)) | set(x.pairs(90, 100)) | set(y.pairs(90, 100)) == want
+
+
 def test_mixing_budgets():
     leaves = {("a", "x"): mixing.Leaf(10), ("a", "y"): mixing.Leaf(100), ("b", "x"): mixing.Leaf(1000)}
     assert mixing.share_out(leaves, {}, 100, 1) == 0
