@@ -381,6 +381,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     members = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     rest = materialize(_verify(_tree_pairs(members, sets, num, den), sets, num, den), "tree-links")
     final = components(star.union(rest))
-    grouped = sig.join(final, sig["cls"] == final["v"], "left").select("doc_id", "n", F.coalesce("root", "cls").alias("part"))
-    ids = grouped.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    # written down, so that a large component's rows can be split where they are joined
+    grouped = materialize(sig.join(final, sig["cls"] == final["v"], "left").select("doc_id", "n", F.coalesce("root", "cls").alias("part")), "parts")
+    ids = materialize(grouped.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id")), "component-ids")
     return grouped.join(ids, "part", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
