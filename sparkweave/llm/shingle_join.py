@@ -6,7 +6,7 @@
    With m > d + SPARE every class emits (group, contents) as block keys, and linked classes meet in a block.  m depends
    on a size band; a class near a band's lower edge also emits the keys of the band below.
 3. Blocks of two or more classes are joined.  First each class with the block's smallest one; what that links needs no further pairs.
-   Members that are still in different components are joined by an R-tree over their group counts (``GROUPS`` coordinates), which is
+   Members that are still in different components are joined by an R-tree over their group counts (about as many coordinates as members; of two vectors the finer is folded to the coarser), which is
    loaded in the order of a block's components and set sizes: boxes of ``BOX`` points, leaves of ``LEAF`` points, and nodes of
    ``FAN`` leaves or nodes above.  A box keeps the largest value of each coordinate and the range of sizes; two boxes, or a box and a point,
    can overlap by at most the sum of the coordinate minima, and what cannot reach the needed overlap is not descended into.  Leaves are numbered
@@ -16,7 +16,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,10 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, hashed_words, materialize, mix, rows_of
+from .common import doc_text, drop_table, hashed_words, materialize, mix, rows_of, small
 from .graph import components
 
-GROUPS, SPARE = 1024, 4
+SPARE = 4
+#: coordinates of a count vector: as many as a set has members, within these bounds (a power of two)
+GROUPS = 64, 4096
+#: candidates are compared in so many steps, each of which shuffles its share of the count vectors
+PASSES = 4
 BOX, LEAF, FAN, LEVELS = 16, 512, 32, 3
 _K = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _SIG = "doc_id long, n long, cls long"
@@ -103,9 +107,9 @@ class Bands:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], name: str = "doc_id", size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
     ids, texts, held = [], [], 0
-    for doc_id, text in rows_of(batches, "doc_id", "text"):
+    for doc_id, text in rows_of(batches, name, "text"):
         ids.append(doc_id)
         texts.append(text.encode("utf-8", "surrogatepass").lower())  # bytes: A-Z only
         held += len(texts[-1])
@@ -143,39 +147,70 @@ def _keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(each, _KEY)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cls, n, counts, shingles) of texts (doc_id, text): points of the R-tree, and the sets for verification."""
+def _sets(chosen: DataFrame, words: int) -> DataFrame:
+    """(cls, n, counts, shingles) of the rows of (cls, text) whose set is of that class: points of the R-tree, and the sets for verification.
+
+    A class has one document; its equal rows come to one task (or give the same set twice, which changes no link).
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches):
+        seen: set[int] = set()
+        for classes, texts in _chunks(batches, "cls"):
             rows = []
-            for s in shingle_sets(texts, words):
-                counts = np.bincount((mix(s) >> np.uint64(54)).astype(np.int64), minlength=GROUPS).astype("<u2" if len(s) < 1 << 16 else "<u4")
-                rows.append((class_of(s), len(s), counts.tobytes(), s.tobytes()))
+            for c, s in zip(classes, shingle_sets(texts, words), strict=True):
+                if len(s) and c not in seen and class_of(s) == c:
+                    seen.add(c)
+                    rows.append((c, len(s), count_vector(s), s.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SET_ARROW, strict=True)], schema=_SET_ARROW)
 
-    return docs.mapInArrow(each, "cls long, n long, counts binary, shingles binary")
+    return chosen.mapInArrow(each, "cls long, n long, counts binary, shingles binary")
+
+
+def count_vector(s: np.ndarray) -> bytes:
+    """How many members of a set fall into each group (by the upper bits of a hash); the first byte is the bytes of a count."""
+    bits = min(GROUPS[1].bit_length(), max(GROUPS[0].bit_length(), len(s).bit_length())) - 1
+    return _packed(np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    size = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1)
+
+
+def _folded(counts: np.ndarray, n: int) -> np.ndarray:
+    """With ``n`` coordinates: neighbours are added up."""
+    return counts if len(counts) == n else counts.reshape(n, -1).sum(axis=1, dtype=np.int64)
 
 
 def _points(rows) -> np.ndarray:  # noqa: ANN001
-    """Count vectors, one a row; those of sets of 2**16 and more are stored wider."""
-    rows = list(rows)
-    if all(len(r) == 2 * GROUPS for r in rows):
-        return np.frombuffer(b"".join(rows), "<u2").reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(r, "<u2" if len(r) == 2 * GROUPS else "<u4").astype("<u4") for r in rows])
+    """Count vectors, one a row, with the coordinates of the coarsest."""
+    some = [_counts(r) for r in rows]
+    n = min(map(len, some))
+    some = [_folded(c, n) for c in some]
+    return np.stack(some).astype("<u2" if max(int(c.max()) for c in some) < 1 << 16 else "<u4")
+
+
+def _bound(x: bytes, y: bytes) -> int:
+    """The most that two sets can have in common: the sum of the coordinate minima."""
+    x, y = _counts(x), _counts(y)
+    n = min(len(x), len(y))
+    return int(np.minimum(_folded(x, n), _folded(y, n)).sum(dtype=np.int64))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) of classes that link: the bound on group counts first, then the whole sets."""
+    """Those of pairs (a, b) of classes, a written table, that link: the bound on group counts first, then the whole sets."""
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = pa.table(batch)
-            n = [t[c].to_numpy() for c in ("na", "nb")]
-            c = [_points(t[x].to_pylist()) for x in ("ca", "cb")]
-            ok = (den + num) * np.minimum(c[0], c[1]).sum(axis=1, dtype=np.int64) >= num * (n[0] + n[1])
-            yield from t.select(["a", "b"]).filter(pa.array(ok)).to_batches()
+            need = num * (t["na"].to_numpy() + t["nb"].to_numpy())
+            ok = [(den + num) * _bound(x, y) >= n for x, y, n in zip(t["ca"].to_pylist(), t["cb"].to_pylist(), need.tolist(), strict=True)]
+            yield from t.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).to_batches()
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,10 +224,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                     good.append(den * common >= num * (len(x) + len(y) - common))
                 yield from t.select(["a", "b"]).filter(pa.array(good, pa.bool_())).to_batches()
 
-    point = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
-    whole = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
-    near = pairs.join(point("a"), "a").join(point("b"), "b").where(f"{num} * greatest(na, nb) <= {den} * least(na, nb)").mapInArrow(may, "a long, b long")
-    return near.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "sa", "sb").mapInArrow(links, "a long, b long")
+    sizes = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"))
+    point = lambda x: sets.select(F.col("cls").alias(x), F.col("counts").alias(f"c{x}"))
+    whole = lambda x, need: need.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
+    alike = materialize(pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(f"{num} * greatest(na, nb) <= {den} * least(na, nb)"), "pairs-of-like-size")
+    near = _in_passes(lambda part: alike.where(part("a")).join(point("a").where(part("a")), "a").join(point("b"), "b").mapInArrow(may, "a long, b long"), "near-pairs")
+    ends = materialize(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), "ends")
+    need = sets.select("cls", "shingles").join(small(ends), "cls", "left_semi")
+    return near.join(whole("a", need), "a").join(whole("b", need), "b").select("a", "b", "sa", "sb").mapInArrow(links, "a long, b long")
+
+
+def _in_passes(step: Callable[[Callable[[str], F.Column]], DataFrame], tag: str) -> DataFrame:
+    """The rows of ``step`` over all parts of its input, one after the other; it gets a filter on a bigint column."""
+    out: DataFrame | None = None
+    for k in range(PASSES):
+        one = materialize(step(lambda c, k=k: F.pmod(F.xxhash64(c), PASSES) == k), tag)
+        out = one if out is None else out.union(one)
+    return out
 
 
 class CountTree:
@@ -260,9 +308,14 @@ def _leaves(members: DataFrame) -> DataFrame:
     return members.repartitionByRange("key", "root", "n", "cls").sortWithinPartitions("key", "root", "n", "cls").mapInArrow(number, "key long, cls long, root long, n long, leaf long")
 
 
-def _tree_of(rows: list[tuple]) -> CountTree:
-    n, root, cls = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-    return CountTree(_points([r[0] for r in rows]), n, root, cls)
+def _trees(*leaves: list[tuple]) -> list[CountTree]:
+    """Of lists of (counts, n, root, cls)."""
+    counts, at, out = _points([r[0] for rows in leaves for r in rows]), 0, []
+    for rows in leaves:
+        n, root, cls = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        out.append(CountTree(counts[at : at + len(rows)], n, root, cls))
+        at += len(rows)
+    return out
 
 
 def _within(points: DataFrame, num: int, den: int) -> DataFrame:
@@ -273,7 +326,7 @@ def _within(points: DataFrame, num: int, den: int) -> DataFrame:
         known: set[tuple[int, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            found = set(_tree_of(held).pairs(num, den)) - known
+            found = set(_trees(held)[0].pairs(num, den)) - known
             known.update(found if len(known) < 1_000_000 else ())
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -294,7 +347,7 @@ def _boxes(points: DataFrame) -> DataFrame:
     """(key, leaf, lo, hi, r0, r1, box): sizes, components and largest counts of each leaf."""
 
     def bounds(df: pd.DataFrame) -> pd.DataFrame:
-        box = _points(df["counts"]).max(axis=0).astype("<u4").tobytes()
+        box = _packed(_points(df["counts"]).max(axis=0))
         return pd.DataFrame([(df["key"].iloc[0], df["leaf"].iloc[0], df["n"].min(), df["n"].max(), df["root"].min(), df["root"].max(), box)], columns=["key", "leaf", "lo", "hi", "r0", "r1", "box"])
 
     return points.groupBy("key", "leaf").applyInPandas(bounds, "key long, leaf long, lo long, hi long, r0 long, r1 long, box binary")
@@ -307,7 +360,7 @@ def _between(points: DataFrame, num: int, den: int) -> DataFrame:
         up = levels[-1].withColumn("leaf", F.expr(f"leaf div {FAN}"))
 
         def joined(df: pd.DataFrame) -> pd.DataFrame:
-            box = np.stack([np.frombuffer(x, "<u4") for x in df["box"]]).max(axis=0).tobytes()
+            box = _packed(_points(df["box"]).max(axis=0))
             return pd.DataFrame([(df["key"].iloc[0], df["leaf"].iloc[0], df["lo"].min(), df["hi"].max(), df["r0"].min(), df["r1"].max(), box)], columns=df.columns)
 
         levels.append(materialize(up.groupBy("key", "leaf").applyInPandas(joined, up.schema), "nodes"))
@@ -317,9 +370,9 @@ def _between(points: DataFrame, num: int, den: int) -> DataFrame:
             t = pa.table(batch)
             for lo in range(0, t.num_rows, 1024):
                 part = t.slice(lo, 1024)
-                c = [np.stack([np.frombuffer(x, "<u4") for x in part[k].to_pylist()]) for k in ("boxx", "boxy")]
-                ok = (den + num) * np.minimum(c[0], c[1]).sum(axis=1, dtype=np.int64) >= num * (part["lox"].to_numpy() + part["loy"].to_numpy())
-                yield from part.select(["key", "leafx", "leafy"]).filter(pa.array(ok)).to_batches()
+                need = num * (part["lox"].to_numpy() + part["loy"].to_numpy())
+                ok = [(den + num) * _bound(x, y) >= n for x, y, n in zip(part["boxx"].to_pylist(), part["boxy"].to_pylist(), need.tolist(), strict=True)]
+                yield from part.select(["key", "leafx", "leafy"]).filter(pa.array(ok, pa.bool_())).to_batches()
 
     pairs: DataFrame | None = None
     for level in reversed(levels):
@@ -334,7 +387,7 @@ def _between(points: DataFrame, num: int, den: int) -> DataFrame:
     matched = pairs.where("upx < upy").select(F.col("upx").alias("leafx"), F.col("upy").alias("leafy"))
 
     def search(both: pd.DataFrame) -> pd.DataFrame:
-        trees = [_tree_of(list(zip(*[d[c].tolist() for c in ("counts", "n", "root", "cls")], strict=True))) for d in (both[both["side"] == s] for s in "xy")]
+        trees = _trees(*[list(zip(*[d[c].tolist() for c in ("counts", "n", "root", "cls")], strict=True)) for d in (both[both["side"] == s] for s in "xy")])
         return pd.DataFrame(sorted(set(trees[0].pairs(num, den, trees[1]))), columns=["a", "b"]).astype("int64")
 
     sides = [matched.join(points.withColumnRenamed("leaf", f"leaf{s}"), f"leaf{s}").select("leafx", "leafy", "cls", "n", "root", "counts", F.lit(s).alias("side")) for s in "xy"]
@@ -350,7 +403,7 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     mixed = materialize(one.where("r0 < r1 and size > 2").groupBy("size", "x", "c0", "c1").agg(F.min("key").alias("key")).select("key"), "mixed")
     leaves = materialize(_leaves(members.join(mixed, "key").join(sets.select("cls", "n"), "cls").select("key", "cls", "root", "n")), "leaves")
     counts = sets.select("cls", "counts")
-    inner = _within(leaves.join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den)
+    inner = _in_passes(lambda part: _within(leaves.where(part("leaf")).join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den), "tree-pairs")
     several = materialize(leaves.groupBy("key").agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1")).where("l0 < l1").select("key"), "large-blocks")
     if several.isEmpty():
         return inner.distinct()
@@ -368,18 +421,20 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     """
     docs = doc_text(docs)
     sig = materialize(_signatures(docs, words), "signatures")
-    keys = _keys(docs, words, num, den)
+    keys = materialize(_keys(docs, words, num, den), "block-keys")
     # blocks of two or more classes, and their members
-    keys = materialize(keys, "block-keys")
-    live = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", "lo")
+    live = materialize(keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", "lo"), "live-blocks")
     blocks = materialize(keys.join(live, "key").distinct(), "blocks")
+    drop_table(keys)
+    drop_table(live)
     present = blocks.select("cls").distinct()
     chosen = sig.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(present, "cls", "left_semi")
-    sets = materialize(_sets(docs.join(chosen.select("doc_id"), "doc_id", "left_semi"), words).dropDuplicates(["cls"]), "sets")
-    star = materialize(_verify(blocks.where("lo < cls").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct(), sets, num, den), "star-links")
+    sets = materialize(_sets(docs.join(chosen, "doc_id").select("cls", "text"), words), "sets")
+    pairs = materialize(blocks.where("lo < cls").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct(), "star-pairs")
+    star = materialize(_verify(pairs, sets, num, den), "star-links")
     roots = components(star)
     members = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    rest = materialize(_verify(_tree_pairs(members, sets, num, den), sets, num, den), "tree-links")
+    rest = materialize(_verify(materialize(_tree_pairs(members, sets, num, den), "tree-pairs"), sets, num, den), "tree-links")
     final = components(star.union(rest))
     # written down, so that a large component's rows can be split where they are joined
     grouped = materialize(sig.join(final, sig["cls"] == final["v"], "left").select("doc_id", "n", F.coalesce("root", "cls").alias("part")), "parts")
