@@ -11,12 +11,15 @@
    ``FAN`` leaves or nodes above.  A box keeps the largest value of each coordinate and the range of sizes; two boxes, or a box and a point,
    can overlap by at most the sum of the coordinate minima, and what cannot reach the needed overlap is not descended into.  Leaves are numbered
    within ranges and dealt to tasks one by one, so a large block is no single task.
+   A leaf in which many pairs survive (a group of near copies) is searched with its whole sets at hand: what links joins components at once, and
+   pairs of one component are passed over, so no pairs within a group are written.
 4. Surviving pairs are verified on their whole sets, and links are closed to components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ SPARE = 4
 GROUPS = 64, 4096
 #: candidates are compared in so many steps, each of which shuffles its share of the count vectors
 PASSES = 4
-BOX, LEAF, FAN, LEVELS = 16, 512, 32, 3
+BOX, LEAF, FAN, LEVELS, MANY = 16, 512, 32, 3, 4
 _K = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _SIG = "doc_id long, n long, cls long"
 _SIG_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
@@ -217,11 +220,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 t = pa.table(part)
-                good = []
-                for x, y in zip(t["sa"].to_pylist(), t["sb"].to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(den * common >= num * (len(x) + len(y) - common))
+                good = [_linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), num, den) for x, y in zip(t["sa"].to_pylist(), t["sb"].to_pylist(), strict=True)]
                 yield from t.select(["a", "b"]).filter(pa.array(good, pa.bool_())).to_batches()
 
     sizes = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"))
@@ -318,17 +317,53 @@ def _trees(*leaves: list[tuple]) -> list[CountTree]:
     return out
 
 
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return den * common >= num * (len(x) + len(y) - common)
+
+
+def _spanning(pairs: Iterator[tuple[int, int]], root: dict[int, int], sets: dict[int, np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Those of pairs that link and join two components, as they are by then: fewer than there are classes."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    for a, b in pairs:
+        x, y = find(root[a]), find(root[b])
+        if x != y and _linked(sets[a], sets[b], num, den):
+            up[max(x, y)] = min(x, y)
+            yield a, b
+
+
+def _dense(points: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span the components within each leaf of points (leaf, cls, root, n, counts, shingles): for leaves in which many may link."""
+
+    def search(df: pd.DataFrame) -> pd.DataFrame:
+        [tree] = _trees(list(zip(*[df[c].tolist() for c in ("counts", "n", "root", "cls")], strict=True)))
+        sets = {c: np.frombuffer(x, "<u8") for c, x in zip(df["cls"].tolist(), df["shingles"].tolist(), strict=True)}
+        return pd.DataFrame(list(_spanning(tree.pairs(num, den), dict(zip(df["cls"].tolist(), df["root"].tolist(), strict=True)), sets, num, den)), columns=["a", "b"]).astype("int64")
+
+    return points.groupBy("leaf").applyInPandas(search, "a long, b long")
+
+
 def _within(points: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) within each leaf of points (leaf, cls, root, n, counts), which are dealt by leaf."""
+    """Pairs (a, b, dense) within each leaf of points (leaf, cls, root, n, counts), which are dealt by leaf; a leaf with more than ``MANY``
+    pairs for each point gives its number as ``dense`` instead."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         known: set[tuple[int, int]] = set()
 
         def flush() -> pa.RecordBatch:
-            found = set(_trees(held)[0].pairs(num, den)) - known
+            found = set(islice(_trees(held)[0].pairs(num, den), MANY * len(held) + 1))
+            if len(found) > MANY * len(held):
+                return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, at)], names=["a", "b", "dense"])
+            found -= known
             known.update(found if len(known) < 1_000_000 else ())
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([*[pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], pa.nulls(len(found), pa.int64())], names=["a", "b", "dense"])
 
         at = None
         for leaf, *row in rows_of(batches, "leaf", "counts", "n", "root", "cls"):
@@ -340,7 +375,7 @@ def _within(points: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield flush()
 
-    return points.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(search, "a long, b long")
+    return points.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(search, "a long, b long, dense long")
 
 
 def _boxes(points: DataFrame) -> DataFrame:
@@ -354,7 +389,7 @@ def _boxes(points: DataFrame) -> DataFrame:
 
 
 def _between(points: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) between leaves of one block, for points (key, leaf, cls, root, n, counts) of blocks of several leaves: the tree above the leaves, from its top down."""
+    """Links (a, b) that span the components of two leaves of one block, for points (key, leaf, cls, root, n, counts, shingles) of blocks of several leaves: the tree above the leaves, from its top down."""
     levels = [materialize(_boxes(points), "boxes")]
     for _ in range(LEVELS - 1):
         up = levels[-1].withColumn("leaf", F.expr(f"leaf div {FAN}"))
@@ -387,10 +422,11 @@ def _between(points: DataFrame, num: int, den: int) -> DataFrame:
     matched = pairs.where("upx < upy").select(F.col("upx").alias("leafx"), F.col("upy").alias("leafy"))
 
     def search(both: pd.DataFrame) -> pd.DataFrame:
-        trees = _trees(*[list(zip(*[d[c].tolist() for c in ("counts", "n", "root", "cls")], strict=True)) for d in (both[both["side"] == s] for s in "xy")])
-        return pd.DataFrame(sorted(set(trees[0].pairs(num, den, trees[1]))), columns=["a", "b"]).astype("int64")
+        x, y = _trees(*[list(zip(*[d[c].tolist() for c in ("counts", "n", "root", "cls")], strict=True)) for d in (both[both["side"] == s] for s in "xy")])
+        sets = {c: np.frombuffer(v, "<u8") for c, v in zip(both["cls"].tolist(), both["shingles"].tolist(), strict=True)}
+        return pd.DataFrame(list(_spanning(x.pairs(num, den, y), dict(zip(both["cls"].tolist(), both["root"].tolist(), strict=True)), sets, num, den)), columns=["a", "b"]).astype("int64")
 
-    sides = [matched.join(points.withColumnRenamed("leaf", f"leaf{s}"), f"leaf{s}").select("leafx", "leafy", "cls", "n", "root", "counts", F.lit(s).alias("side")) for s in "xy"]
+    sides = [matched.join(points.withColumnRenamed("leaf", f"leaf{s}"), f"leaf{s}").select("leafx", "leafy", "cls", "n", "root", "counts", "shingles", F.lit(s).alias("side")) for s in "xy"]
     return sides[0].union(sides[1]).groupBy("leafx", "leafy").applyInPandas(search, "a long, b long")
 
 
@@ -403,12 +439,17 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     mixed = materialize(one.where("r0 < r1 and size > 2").groupBy("size", "x", "c0", "c1").agg(F.min("key").alias("key")).select("key"), "mixed")
     leaves = materialize(_leaves(members.join(mixed, "key").join(sets.select("cls", "n"), "cls").select("key", "cls", "root", "n")), "leaves")
     counts = sets.select("cls", "counts")
-    inner = _in_passes(lambda part: _within(leaves.where(part("leaf")).join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den), "tree-pairs")
+    found = _in_passes(lambda part: _within(leaves.where(part("leaf")).join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den), "tree-pairs")
+    out = found.where("dense is null").select("a", "b")
+    points = sets.select("cls", "counts", "shingles")
+    dense = materialize(found.where("dense is not null").select(F.col("dense").alias("leaf")), "dense-leaves")
+    if not dense.isEmpty():
+        out = out.union(_in_passes(lambda part: _dense(leaves.where(part("leaf")).join(dense, "leaf").join(points, "cls"), num, den), "dense-links"))
     several = materialize(leaves.groupBy("key").agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1")).where("l0 < l1").select("key"), "large-blocks")
-    if several.isEmpty():
-        return inner.distinct()
-    points = materialize(leaves.join(several, "key").join(counts, "cls").select("key", "leaf", "cls", "root", "n", "counts"), "large-block-points")
-    return inner.union(_between(points, num, den)).distinct()
+    if not several.isEmpty():
+        large = materialize(leaves.join(several, "key").join(points, "cls").select("key", "leaf", "cls", "root", "n", "counts", "shingles"), "large-block-points")
+        out = out.union(_between(large, num, den))
+    return out.distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -298,8 +298,9 @@ def test_shingle_join(spark, docs, plain, empty):
     assert sorted(map(tuple, got)) == brute_components(made)
 
 
-def test_large_blocks_are_cut_into_leaves(spark, monkeypatch):
-    for name, value in (("LEAF", 3), ("BOX", 2), ("FAN", 2)):
+@pytest.mark.parametrize("leaf", [3, 512])
+def test_large_blocks_are_cut_into_leaves(spark, monkeypatch, leaf):
+    for name, value in (("LEAF", leaf), ("BOX", 2), ("FAN", 2), ("MANY", 1)):
         monkeypatch.setattr(shingle_join, name, value)
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(150)]
