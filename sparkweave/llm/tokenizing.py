@@ -24,6 +24,10 @@ _RARE_ASCII = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
+#: ASCII and composed Latin letters that the file's normalizer lower-cases as Python does
+_COMPOSED = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]*")
+
+
 def _rare_space(text: str) -> bool:
     return any(c in text for c in _RARE_ASCII) if text.isascii() else bool(_RARE.search(text))
 
@@ -98,7 +102,7 @@ class TextEncoder:
         return self._whole(piece if head else " " + piece)
 
     def _spaceless_piece(self, piece: str) -> bytes:
-        if self.simple and piece.isascii():
+        if self.simple and (piece.isascii() or _COMPOSED.fullmatch(piece)):
             low = piece.lower()
             if low.isalpha():
                 return self._word(low, "")

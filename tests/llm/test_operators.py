@@ -53,6 +53,8 @@ def test_encoder_is_the_tokenizer(path, plain):
     rng = np.random.default_rng(2)
     bits = ["a", "word", " ", " ", "\n", "\n\n", "\n\n\n", "é", "1", ".", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\t", "'s", "  "]
     random = ["".join(rng.choice(bits, rng.integers(1, 9))) for _ in range(20_000)]
+    letters = [chr(c) for c in range(0xC0, 0x180)] + list("abzAZ.,")
+    random += ["".join(rng.choice(letters, rng.integers(1, 7))) + rng.choice(["", ".", ",", " b"]) for _ in range(20_000)]
     for text in [t for _, t in plain] + random + ["a  b", " a", "a ", "\n", "a\nb", "a \nb", "a\t b", "\n\na", "1,2 b.", "a\x1cb", "A's"]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
