@@ -81,12 +81,22 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _unescaped(text: F.Column) -> F.Column:
-    """Escapes of strings and IRIs read (quotes, controls, code points up to FFFF): a JSON reader knows all but two of them."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"\\'", "'"), r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
+    """Escapes of strings and IRIs read (quotes, controls, code points): a JSON reader knows all but two of them, and code points above FFFF as pairs."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\\\\", r"\\u005c"), r"\\'", "'")  # every backslash left begins an escape
+    long = F.array_distinct(F.regexp_extract_all(plain, F.lit(r"\\U([0-9A-Fa-f]{8})"), F.lit(1)))
+    plain = F.aggregate(long, plain, lambda t, h: F.replace(t, F.concat(F.lit("\\U"), h), _json_escape(h)))
     quoted = F.concat(F.lit('{"v":"'), F.regexp_replace(plain, "\t", r"\\t"), F.lit('"}'))
     return F.when(text.contains("\\"), F.coalesce(F.from_json(quoted, "v string")["v"], text)).otherwise(text)
 
 
+def _json_escape(digits: F.Column) -> F.Column:
+    """JSON's escape of a code point of eight hexadecimal digits; beyond 10FFFF it stays as it is."""
+    point = F.conv(digits, 16, 10).cast("long")
+    above = point - 0x10000
+    pair = F.format_string("\\u%04x\\u%04x", F.shiftright(above, 10) + 0xD800, above.bitwiseAND(0x3FF) + 0xDC00)
+    return F.when(above < 0, F.concat(F.lit("\\u"), F.right(digits, F.lit(4)))).when(point <= 0x10FFFF, pair).otherwise(F.concat(F.lit("\\U"), digits))
+
+
 def drop_reified(facts: DataFrame) -> DataFrame:
     """Facts without the parts of reified statements."""
     return facts.where(~F.col("p").rlike(_REIFIED) & ~F.col("o").rlike(_REIFIED))

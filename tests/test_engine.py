@@ -205,3 +205,6 @@ def test_build_and_shell(spark, tmp_path, monkeypatch, capsys):
 def test_escapes(spark, tmp_path):
     (tmp_path / "e.nt").write_text('<a> <b> "t\\u00e9 \\"q\\" \\\\ \\t \\U0000263A \\\'" .\n')
     assert raw.read_ntriples(spark, str(tmp_path / "e.nt")).first().o == 't\u00e9 "q" \\ \t \u263a \''
+    (tmp_path / "w.nt").write_text('<a> <b> "\\U0001F600 \\\\U0001F600 \\U0010FFFF\\U0000263a" .\n<a> <c> "\\U00110000" .\n')
+    wide = {r.p: r.o for r in raw.read_ntriples(spark, str(tmp_path / "w.nt")).collect()}
+    assert wide == {"b": "\U0001f600 \\U0001F600 \U0010ffff☺", "c": "\\U00110000"}
