@@ -14,11 +14,15 @@
    A leaf in which many pairs survive (a group of near copies) is searched with its whole sets at hand: what links joins components at once, and
    pairs of one component are passed over, so no pairs within a group are written.
 4. Surviving pairs are verified on their whole sets, and links are closed to components.
+
+Whole sets are made again from the texts of their classes where they are compared: a text takes less than half the disk of its hashes.  What shuffles
+block keys, texts or whole sets goes over the input in ``PASSES`` parts, so only a share of it is on disk at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -34,7 +38,7 @@ from .graph import components
 SPARE = 4
 #: coordinates of a count vector: as many as a set has members, within these bounds (a power of two)
 GROUPS = 64, 4096
-#: candidates are compared in so many steps, each of which shuffles its share of the count vectors
+#: block keys, texts and candidates are shuffled in so many steps, each its share
 PASSES = 4
 BOX, LEAF, FAN, LEVELS, MANY = 16, 512, 32, 3, 4
 _K = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
@@ -42,7 +46,7 @@ _SIG = "doc_id long, n long, cls long"
 _SIG_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 _KEY = "key long, cls long"
 _KEY_ARROW = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
-_SET_ARROW = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("shingles", pa.binary())])
+_SET_ARROW = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("text", pa.binary())])
 
 
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -151,7 +155,7 @@ def _keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def _sets(chosen: DataFrame, words: int) -> DataFrame:
-    """(cls, n, counts, shingles) of the rows of (cls, text) whose set is of that class: points of the R-tree, and the sets for verification.
+    """(cls, n, counts, text) of the rows of (cls, text) whose set is of that class: points of the R-tree, and lower-case texts from which ``whole_sets`` are made.
 
     A class has one document; its equal rows come to one task (or give the same set twice, which changes no link).
     """
@@ -160,14 +164,20 @@ def _sets(chosen: DataFrame, words: int) -> DataFrame:
         seen: set[int] = set()
         for classes, texts in _chunks(batches, "cls"):
             rows = []
-            for c, s in zip(classes, shingle_sets(texts, words), strict=True):
+            for c, text, s in zip(classes, texts, shingle_sets(texts, words), strict=True):
                 if len(s) and c not in seen and class_of(s) == c:
                     seen.add(c)
-                    rows.append((c, len(s), count_vector(s), s.tobytes()))
+                    rows.append((c, len(s), count_vector(s), text))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _SET_ARROW, strict=True)], schema=_SET_ARROW)
 
-    return chosen.mapInArrow(each, "cls long, n long, counts binary, shingles binary")
+    return chosen.mapInArrow(each, "cls long, n long, counts binary, text binary")
+
+
+def whole_sets(classes: list[int], texts: list[bytes], words: int) -> dict[int, np.ndarray]:
+    """The set of each class, made once."""
+    known = dict(zip(classes, texts, strict=True))
+    return dict(zip(known, shingle_sets(list(known.values()), words), strict=True))
 
 
 def count_vector(s: np.ndarray) -> bytes:
@@ -205,7 +215,7 @@ def _bound(x: bytes, y: bytes) -> int:
     return int(np.minimum(_folded(x, n), _folded(y, n)).sum(dtype=np.int64))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) of classes, a written table, that link: the bound on group counts first, then the whole sets."""
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,27 +228,32 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                t = pa.table(part)
-                good = [_linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), num, den) for x, y in zip(t["sa"].to_pylist(), t["sb"].to_pylist(), strict=True)]
+                t = pa.table(batch.slice(at, 256))
+                a, b = t["a"].to_pylist(), t["b"].to_pylist()
+                whole = whole_sets(a + b, t["ta"].to_pylist() + t["tb"].to_pylist(), words)
+                good = [_linked(whole[x], whole[y], num, den) for x, y in zip(a, b, strict=True)]
                 yield from t.select(["a", "b"]).filter(pa.array(good, pa.bool_())).to_batches()
 
     sizes = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"))
     point = lambda x: sets.select(F.col("cls").alias(x), F.col("counts").alias(f"c{x}"))
-    whole = lambda x, need: need.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
     alike = materialize(pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(f"{num} * greatest(na, nb) <= {den} * least(na, nb)"), "pairs-of-like-size")
     near = _in_passes(lambda part: alike.where(part("a")).join(point("a").where(part("a")), "a").join(point("b"), "b").mapInArrow(may, "a long, b long"), "near-pairs")
-    ends = materialize(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), "ends")
-    need = sets.select("cls", "shingles").join(small(ends), "cls", "left_semi")
-    return near.join(whole("a", need), "a").join(whole("b", need), "b").select("a", "b", "sa", "sb").mapInArrow(links, "a long, b long")
+
+    def step(part: Callable[[str], F.Column]) -> DataFrame:
+        mine = near.where(part("b"))
+        ends = materialize(mine.select(F.col("a").alias("cls")).union(mine.select("b")).distinct(), "ends")
+        need = sets.select("cls", "text").join(small(ends), "cls", "left_semi")
+        whole = lambda x: need.select(F.col("cls").alias(x), F.col("text").alias(f"t{x}"))
+        return mine.join(whole("a"), "a").join(whole("b").where(part("b")), "b").select("a", "b", "ta", "tb").mapInArrow(links, "a long, b long")
+
+    return _in_passes(step, "links-of-pairs")
 
 
 def _in_passes(step: Callable[[Callable[[str], F.Column]], DataFrame], tag: str) -> DataFrame:
-    """The rows of ``step`` over all parts of its input, one after the other; it gets a filter on a bigint column."""
-    out: DataFrame | None = None
-    for k in range(PASSES):
-        one = materialize(step(lambda c, k=k: F.pmod(F.xxhash64(c), PASSES) == k), tag)
-        out = one if out is None else out.union(one)
+    """The rows of ``step`` over all parts of its input, one after the other; it gets a filter on a column of integers.  ``parts``: the tables written."""
+    parts = [materialize(step(lambda c, k=k: F.pmod(F.xxhash64(F.col(c).cast("long")), PASSES) == k), tag) for k in range(PASSES)]
+    out = reduce(DataFrame.union, parts)
+    out.parts = parts
     return out
 
 
@@ -338,12 +353,12 @@ def _spanning(pairs: Iterator[tuple[int, int]], root: dict[int, int], sets: dict
             yield a, b
 
 
-def _dense(points: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span the components within each leaf of points (leaf, cls, root, n, counts, shingles): for leaves in which many may link."""
+def _dense(points: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span the components within each leaf of points (leaf, cls, root, n, counts, text): for leaves in which many may link."""
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
         [tree] = _trees(list(zip(*[df[c].tolist() for c in ("counts", "n", "root", "cls")], strict=True)))
-        sets = {c: np.frombuffer(x, "<u8") for c, x in zip(df["cls"].tolist(), df["shingles"].tolist(), strict=True)}
+        sets = whole_sets(df["cls"].tolist(), df["text"].tolist(), words)
         return pd.DataFrame(list(_spanning(tree.pairs(num, den), dict(zip(df["cls"].tolist(), df["root"].tolist(), strict=True)), sets, num, den)), columns=["a", "b"]).astype("int64")
 
     return points.groupBy("leaf").applyInPandas(search, "a long, b long")
@@ -388,9 +403,9 @@ def _boxes(points: DataFrame) -> DataFrame:
     return points.groupBy("key", "leaf").applyInPandas(bounds, "key long, leaf long, lo long, hi long, r0 long, r1 long, box binary")
 
 
-def _between(points: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span the components of two leaves of one block, for points (key, leaf, cls, root, n, counts, shingles) of blocks of several leaves: the tree above the leaves, from its top down."""
-    levels = [materialize(_boxes(points), "boxes")]
+def _between(leaves: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span the components of two leaves of one block, for leaves (key, leaf, cls, root, n) of blocks of several leaves: the tree above the leaves, from its top down."""
+    levels = [_in_passes(lambda part: _boxes(leaves.where(part("leaf")).join(sets.select("cls", "counts"), "cls")), "boxes")]
     for _ in range(LEVELS - 1):
         up = levels[-1].withColumn("leaf", F.expr(f"leaf div {FAN}"))
 
@@ -423,14 +438,18 @@ def _between(points: DataFrame, num: int, den: int) -> DataFrame:
 
     def search(both: pd.DataFrame) -> pd.DataFrame:
         x, y = _trees(*[list(zip(*[d[c].tolist() for c in ("counts", "n", "root", "cls")], strict=True)) for d in (both[both["side"] == s] for s in "xy")])
-        sets = {c: np.frombuffer(v, "<u8") for c, v in zip(both["cls"].tolist(), both["shingles"].tolist(), strict=True)}
-        return pd.DataFrame(list(_spanning(x.pairs(num, den, y), dict(zip(both["cls"].tolist(), both["root"].tolist(), strict=True)), sets, num, den)), columns=["a", "b"]).astype("int64")
+        whole = whole_sets(both["cls"].tolist(), both["text"].tolist(), words)
+        return pd.DataFrame(list(_spanning(x.pairs(num, den, y), dict(zip(both["cls"].tolist(), both["root"].tolist(), strict=True)), whole, num, den)), columns=["a", "b"]).astype("int64")
 
-    sides = [matched.join(points.withColumnRenamed("leaf", f"leaf{s}"), f"leaf{s}").select("leafx", "leafy", "cls", "n", "root", "counts", "shingles", F.lit(s).alias("side")) for s in "xy"]
-    return sides[0].union(sides[1]).groupBy("leafx", "leafy").applyInPandas(search, "a long, b long")
+    def step(part: Callable[[str], F.Column]) -> DataFrame:
+        mine = matched.where(part("leafx"))
+        sides = [mine.join(leaves.withColumnRenamed("leaf", f"leaf{s}"), f"leaf{s}").select("leafx", "leafy", "cls", "n", "root", F.lit(s).alias("side")) for s in "xy"]
+        return sides[0].union(sides[1]).join(sets.select("cls", "counts", "text"), "cls").groupBy("leafx", "leafy").applyInPandas(search, "a long, b long")
 
+    return _in_passes(step, "links-between")
 
-def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+
+def _tree_pairs(members: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of members (key, cls, root) of one block and different components that the bound leaves.
 
     Blocks of one component have nothing to add, and of blocks with the same members one is enough.
@@ -441,17 +460,21 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     counts = sets.select("cls", "counts")
     found = _in_passes(lambda part: _within(leaves.where(part("leaf")).join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den), "tree-pairs")
     out = found.where("dense is null").select("a", "b")
-    points = sets.select("cls", "counts", "shingles")
+    points = sets.select("cls", "counts", "text")
     dense = materialize(found.where("dense is not null").select(F.col("dense").alias("leaf")), "dense-leaves")
     if not dense.isEmpty():
-        out = out.union(_in_passes(lambda part: _dense(leaves.where(part("leaf")).join(dense, "leaf").join(points, "cls"), num, den), "dense-links"))
+        out = out.union(_in_passes(lambda part: _dense(leaves.where(part("leaf")).join(dense, "leaf").join(points, "cls"), words, num, den), "dense-links"))
     several = materialize(leaves.groupBy("key").agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1")).where("l0 < l1").select("key"), "large-blocks")
     if not several.isEmpty():
-        large = materialize(leaves.join(several, "key").join(points, "cls").select("key", "leaf", "cls", "root", "n", "counts", "shingles"), "large-block-points")
-        out = out.union(_between(large, num, den))
+        out = out.union(_between(materialize(leaves.join(several, "key"), "large-blocks-leaves"), sets, words, num, den))
     return out.distinct()
 
 
+def _drop(*tables: DataFrame) -> None:
+    for t in tables:
+        drop_table(t)
+
+
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text): sets of ``words``-word shingles that
     link when den * |intersection| >= num * |union|; the component's id is its smallest doc_id.
@@ -464,18 +487,24 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     sig = materialize(_signatures(docs, words), "signatures")
     keys = materialize(_keys(docs, words, num, den), "block-keys")
     # blocks of two or more classes, and their members
-    live = materialize(keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", "lo"), "live-blocks")
-    blocks = materialize(keys.join(live, "key").distinct(), "blocks")
-    drop_table(keys)
-    drop_table(live)
+    live: list[DataFrame] = []
+
+    def shared(part: Callable[[str], F.Column]) -> DataFrame:
+        mine = keys.where(part("key"))
+        live.append(materialize(mine.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", "lo"), "live-blocks"))
+        return mine.join(live[-1], "key").distinct()
+
+    blocks = _in_passes(shared, "blocks")
+    _drop(keys, *live)
     present = blocks.select("cls").distinct()
-    chosen = sig.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(present, "cls", "left_semi")
-    sets = materialize(_sets(docs.join(chosen, "doc_id").select("cls", "text"), words), "sets")
+    chosen = materialize(sig.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(present, "cls", "left_semi"), "chosen")
+    sets = _in_passes(lambda part: _sets(docs.where(part("doc_id")).join(chosen.where(part("doc_id")), "doc_id").select("cls", "text"), words), "sets")
     pairs = materialize(blocks.where("lo < cls").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct(), "star-pairs")
-    star = materialize(_verify(pairs, sets, num, den), "star-links")
+    star = _verify(pairs, sets, words, num, den)
     roots = components(star)
     members = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    rest = materialize(_verify(materialize(_tree_pairs(members, sets, num, den), "tree-pairs"), sets, num, den), "tree-links")
+    rest = _verify(materialize(_tree_pairs(members, sets, words, num, den), "tree-pairs"), sets, words, num, den)
+    _drop(chosen, pairs, *blocks.parts, *sets.parts)
     final = components(star.union(rest))
     # written down, so that a large component's rows can be split where they are joined
     grouped = materialize(sig.join(final, sig["cls"] == final["v"], "left").select("doc_id", "n", F.coalesce("root", "cls").alias("part")), "parts")

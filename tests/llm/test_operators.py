@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -316,6 +317,32 @@ def test_large_blocks_are_cut_into_leaves(spark, monkeypatch, leaf):
     assert sorted(map(tuple, got)) == brute_components(made)
 
 
+def test_shingle_join_keeps_little_on_disk(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    made = []
+    for i in range(160):  # pairs of near copies: every set is needed
+        base = base if i % 2 else [f"w{k}" for k in rng.integers(0, 4000, 400)]
+        made.append((i, " ".join([*base, f"v{i}"])))
+    held, most = {}, {}
+
+    def materialize(df, tag, real=shingle_join.materialize):
+        out = real(df, tag)
+        held[out.table_path] = sum(f.stat().st_size for f in Path(out.table_path.removeprefix("file:")).glob("*.parquet"))
+        most[tag] = max(most.get(tag, 0), sum(v for k, v in held.items() if f"/{tag}-" in k))
+        return out
+
+    def drop_table(df, real=shingle_join.drop_table):
+        held.pop(df.table_path)
+        real(df)
+
+    monkeypatch.setattr(shingle_join, "materialize", materialize)
+    monkeypatch.setattr(shingle_join, "drop_table", drop_table)
+    got = shingle_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"))
+    assert not [k for k in held if "/sets-" in k or "/block" in k]  # gone before the result is joined
+    assert most["sets"] < 5 * 400 * len(made)  # hashes of shingles take 8 bytes each
+    assert sorted(map(tuple, got.collect())) == [(i, 399, i - i % 2) for i in range(160)]
+
+
 def test_count_tree(monkeypatch):
     monkeypatch.setattr(shingle_join, "BOX", 4)
     rng = np.random.default_rng(2)
