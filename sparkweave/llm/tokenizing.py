@@ -28,6 +28,10 @@ _RARE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u202
 _COMPOSED = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]*")
 
 
+#: ASCII marks that the byte-level file keeps together after a word; an apostrophe may begin a contraction
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def _rare_space(text: str) -> bool:
     return any(c in text for c in _RARE_ASCII) if text.isascii() else bool(_RARE.search(text))
 
@@ -77,9 +81,11 @@ class TextEncoder:
         #: a file that lower-cases and drops white space, or one that keeps a leading blank with the word
         self.spaceless = self.tok.normalizer is not None
         self.simple = isinstance(self.model, models.BPE)
+        if self.simple:
+            self.model._resize_cache(0)  # the memo has the frequent words; looking up the others twice takes longer than merging them
         self.memo = _Memo(self._spaceless_piece if self.spaceless else self._piece, memo)
         self.newline = b"" if self.spaceless else self._whole("\n")
-        self.after = {c: self._whole(c) for c in ".,"}
+        self.after = _Memo(self._whole, 1 << 12)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -94,13 +100,14 @@ class TextEncoder:
         lead, body, head = "Ġ", piece, b""
         if piece[:1] == "\n":
             lead, body, head = "", piece[1:], self.newline
-        if self.simple and body:
-            if body.isalpha():
-                return head + self._word(body, lead)
-            if body[-1] in ".," and body[:-1].isalpha():
-                return head + self._word(body[:-1], lead) + self.after[body[-1]]
+        if self.simple and (word := body.rstrip(_MARKS)).isalpha():
+            return head + self._word(word, lead) + (self.after[body[len(word) :]] if len(word) < len(body) else b"")
         return self._whole(piece if head else " " + piece)
 
+    def _first(self, piece: str) -> bytes:
+        """A piece with which a text begins, without a blank before it."""
+        return self._word(piece, "") if self.simple and piece.isalpha() else self._whole(piece)
+
     def _spaceless_piece(self, piece: str) -> bytes:
         if self.simple and (piece.isascii() or _COMPOSED.fullmatch(piece)):
             low = piece.lower()
@@ -126,7 +133,7 @@ class TextEncoder:
         if "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " " or "\n\n" in text:
             return self._whole(text)
         pieces = text.replace("\n", " \n").split(" ")
-        return self._whole(pieces[0]) + b"".join(map(self.memo.__getitem__, pieces[1:]))
+        return self._first(pieces[0]) + b"".join(map(self.memo.__getitem__, pieces[1:]))
 
 
 _cached: dict[tuple[str, int], TextEncoder] = {}

@@ -80,3 +80,11 @@ def test_stretches_and_memo_change_nothing(monkeypatch):
     monkeypatch.setattr(pii, "_kind", lambda w: tuple(pii._word_features(w)))
     plain = pii.Field(field.names, field.emit, field.move, field.start).decode([words])
     assert len(words) > 2000 and split == plain
+
+
+def test_words_with_marks_go_through_the_model_alone():
+    tok, enc, asked = Tokenizer.from_file(BYTE), TextEncoder(BYTE), []
+    enc._whole = lambda text, real=enc._whole: asked.append(text) or real(text)
+    for text in ["First word$$$ été&&& third!!\nfourth.%%% it's", "a-b c\" d`~ e_ f' g'. h--- (i) j1"]:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert asked == [" it's", "a-b", " f'", " g'.", " (i)", " j1"]
