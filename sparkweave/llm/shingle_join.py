@@ -16,7 +16,8 @@
 4. Surviving pairs are verified on their whole sets, and links are closed to components.
 
 Whole sets are made again from the texts of their classes where they are compared: a text takes less than half the disk of its hashes.  What shuffles
-block keys, texts or whole sets goes over the input in ``PASSES`` parts, so only a share of it is on disk at a time.
+block keys, texts or whole sets goes over a large input in ``PASSES`` parts, so only a share of it is on disk at a time; up to ``ONE_PASS`` block keys
+(some 256 MB) one part is enough, as each part costs a round of tasks for every step.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ from .graph import components
 SPARE = 4
 #: coordinates of a count vector: as many as a set has members, within these bounds (a power of two)
 GROUPS = 64, 4096
-#: block keys, texts and candidates are shuffled in so many steps, each its share
-PASSES = 4
+#: block keys, texts and candidates of inputs with more than ``ONE_PASS`` block keys are shuffled in so many steps, each its share
+PASSES, ONE_PASS = 4, 1 << 24
 BOX, LEAF, FAN, LEVELS, MANY = 16, 512, 32, 3, 4
 _K = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _SIG = "doc_id long, n long, cls long"
@@ -215,7 +216,7 @@ def _bound(x: bytes, y: bytes) -> int:
     return int(np.minimum(_folded(x, n), _folded(y, n)).sum(dtype=np.int64))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, words: int, num: int, den: int, passes: int) -> DataFrame:
     """Those of pairs (a, b) of classes, a written table, that link: the bound on group counts first, then the whole sets."""
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,23 +236,34 @@ def _verify(pairs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -
                 yield from t.select(["a", "b"]).filter(pa.array(good, pa.bool_())).to_batches()
 
     sizes = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"))
-    point = lambda x: sets.select(F.col("cls").alias(x), F.col("counts").alias(f"c{x}"))
     alike = materialize(pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(f"{num} * greatest(na, nb) <= {den} * least(na, nb)"), "pairs-of-like-size")
-    near = _in_passes(lambda part: alike.where(part("a")).join(point("a").where(part("a")), "a").join(point("b"), "b").mapInArrow(may, "a long, b long"), "near-pairs")
+
+    def needed(mine: DataFrame, column: str) -> DataFrame:
+        """The sets of the classes of some pairs, so that no others are shuffled."""
+        ends = materialize(mine.select(F.col("a").alias("cls")).union(mine.select("b")).distinct(), "ends")
+        return sets.select("cls", column).join(small(ends), "cls", "left_semi")
+
+    def first(part: Callable[[str], F.Column]) -> DataFrame:
+        mine = alike.where(part("a"))
+        need = needed(mine, "counts")
+        point = lambda x: need.select(F.col("cls").alias(x), F.col("counts").alias(f"c{x}"))
+        return mine.join(point("a").where(part("a")), "a").join(point("b"), "b").mapInArrow(may, "a long, b long")
+
+    near = _in_passes(first, "near-pairs", passes)
 
     def step(part: Callable[[str], F.Column]) -> DataFrame:
         mine = near.where(part("b"))
-        ends = materialize(mine.select(F.col("a").alias("cls")).union(mine.select("b")).distinct(), "ends")
-        need = sets.select("cls", "text").join(small(ends), "cls", "left_semi")
+        need = needed(mine, "text")
         whole = lambda x: need.select(F.col("cls").alias(x), F.col("text").alias(f"t{x}"))
         return mine.join(whole("a"), "a").join(whole("b").where(part("b")), "b").select("a", "b", "ta", "tb").mapInArrow(links, "a long, b long")
 
-    return _in_passes(step, "links-of-pairs")
+    return _in_passes(step, "links-of-pairs", passes)
 
 
-def _in_passes(step: Callable[[Callable[[str], F.Column]], DataFrame], tag: str) -> DataFrame:
+def _in_passes(step: Callable[[Callable[[str], F.Column]], DataFrame], tag: str, passes: int) -> DataFrame:
     """The rows of ``step`` over all parts of its input, one after the other; it gets a filter on a column of integers.  ``parts``: the tables written."""
-    parts = [materialize(step(lambda c, k=k: F.pmod(F.xxhash64(F.col(c).cast("long")), PASSES) == k), tag) for k in range(PASSES)]
+    part = lambda k: lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), passes) == k if passes > 1 else F.lit(True)
+    parts = [materialize(step(part(k)), tag) for k in range(passes)]
     out = reduce(DataFrame.union, parts)
     out.parts = parts
     return out
@@ -403,9 +415,9 @@ def _boxes(points: DataFrame) -> DataFrame:
     return points.groupBy("key", "leaf").applyInPandas(bounds, "key long, leaf long, lo long, hi long, r0 long, r1 long, box binary")
 
 
-def _between(leaves: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _between(leaves: DataFrame, sets: DataFrame, words: int, num: int, den: int, passes: int) -> DataFrame:
     """Links (a, b) that span the components of two leaves of one block, for leaves (key, leaf, cls, root, n) of blocks of several leaves: the tree above the leaves, from its top down."""
-    levels = [_in_passes(lambda part: _boxes(leaves.where(part("leaf")).join(sets.select("cls", "counts"), "cls")), "boxes")]
+    levels = [_in_passes(lambda part: _boxes(leaves.where(part("leaf")).join(sets.select("cls", "counts"), "cls")), "boxes", passes)]
     for _ in range(LEVELS - 1):
         up = levels[-1].withColumn("leaf", F.expr(f"leaf div {FAN}"))
 
@@ -446,10 +458,10 @@ def _between(leaves: DataFrame, sets: DataFrame, words: int, num: int, den: int)
         sides = [mine.join(leaves.withColumnRenamed("leaf", f"leaf{s}"), f"leaf{s}").select("leafx", "leafy", "cls", "n", "root", F.lit(s).alias("side")) for s in "xy"]
         return sides[0].union(sides[1]).join(sets.select("cls", "counts", "text"), "cls").groupBy("leafx", "leafy").applyInPandas(search, "a long, b long")
 
-    return _in_passes(step, "links-between")
+    return _in_passes(step, "links-between", passes)
 
 
-def _tree_pairs(members: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, sets: DataFrame, words: int, num: int, den: int, passes: int) -> DataFrame:
     """Distinct pairs (a, b) of members (key, cls, root) of one block and different components that the bound leaves.
 
     Blocks of one component have nothing to add, and of blocks with the same members one is enough.
@@ -458,15 +470,15 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, words: int, num: int, den:
     mixed = materialize(one.where("r0 < r1 and size > 2").groupBy("size", "x", "c0", "c1").agg(F.min("key").alias("key")).select("key"), "mixed")
     leaves = materialize(_leaves(members.join(mixed, "key").join(sets.select("cls", "n"), "cls").select("key", "cls", "root", "n")), "leaves")
     counts = sets.select("cls", "counts")
-    found = _in_passes(lambda part: _within(leaves.where(part("leaf")).join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den), "tree-pairs")
+    found = _in_passes(lambda part: _within(leaves.where(part("leaf")).join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den), "tree-pairs", passes)
     out = found.where("dense is null").select("a", "b")
     points = sets.select("cls", "counts", "text")
     dense = materialize(found.where("dense is not null").select(F.col("dense").alias("leaf")), "dense-leaves")
     if not dense.isEmpty():
-        out = out.union(_in_passes(lambda part: _dense(leaves.where(part("leaf")).join(dense, "leaf").join(points, "cls"), words, num, den), "dense-links"))
+        out = out.union(_in_passes(lambda part: _dense(leaves.where(part("leaf")).join(dense, "leaf").join(points, "cls"), words, num, den), "dense-links", passes))
     several = materialize(leaves.groupBy("key").agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1")).where("l0 < l1").select("key"), "large-blocks")
     if not several.isEmpty():
-        out = out.union(_between(materialize(leaves.join(several, "key"), "large-blocks-leaves"), sets, words, num, den))
+        out = out.union(_between(materialize(leaves.join(several, "key"), "large-blocks-leaves"), sets, words, num, den, passes))
     return out.distinct()
 
 
@@ -486,6 +498,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     docs = doc_text(docs)
     sig = materialize(_signatures(docs, words), "signatures")
     keys = materialize(_keys(docs, words, num, den), "block-keys")
+    passes = 1 if keys.count() <= ONE_PASS else PASSES
     # blocks of two or more classes, and their members
     live: list[DataFrame] = []
 
@@ -494,16 +507,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         live.append(materialize(mine.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", "lo"), "live-blocks"))
         return mine.join(live[-1], "key").distinct()
 
-    blocks = _in_passes(shared, "blocks")
+    blocks = _in_passes(shared, "blocks", passes)
     _drop(keys, *live)
     present = blocks.select("cls").distinct()
     chosen = materialize(sig.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(present, "cls", "left_semi"), "chosen")
-    sets = _in_passes(lambda part: _sets(docs.where(part("doc_id")).join(chosen.where(part("doc_id")), "doc_id").select("cls", "text"), words), "sets")
+    few = small(chosen)  # else all texts would be shuffled for them
+    sets = _in_passes(lambda part: _sets(docs.where(part("doc_id")).join(few.where(part("doc_id")), "doc_id").select("cls", "text"), words), "sets", passes)
     pairs = materialize(blocks.where("lo < cls").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct(), "star-pairs")
-    star = _verify(pairs, sets, words, num, den)
+    star = _verify(pairs, sets, words, num, den, passes)
     roots = components(star)
     members = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    rest = _verify(materialize(_tree_pairs(members, sets, words, num, den), "tree-pairs"), sets, words, num, den)
+    rest = _verify(materialize(_tree_pairs(members, sets, words, num, den, passes), "tree-pairs"), sets, words, num, den, passes)
     _drop(chosen, pairs, *blocks.parts, *sets.parts)
     final = components(star.union(rest))
     # written down, so that a large component's rows can be split where they are joined

@@ -343,6 +343,19 @@ def test_shingle_join_keeps_little_on_disk(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(i, 399, i - i % 2) for i in range(160)]
 
 
+@pytest.mark.parametrize("one_pass", [0, 1 << 24])
+def test_shingle_join_passes(spark, monkeypatch, one_pass):
+    rng, made, written = np.random.default_rng(7), [], Counter()
+    for i in range(60):  # pairs of near copies, and three groups of them
+        base = base if i % 2 or i % 20 > 9 else [f"w{k}" for k in rng.integers(0, 4000, 90)]
+        made.append((i, " ".join([*base, f"v{i}"])))
+    monkeypatch.setattr(shingle_join, "ONE_PASS", one_pass, raising=False)
+    monkeypatch.setattr(shingle_join, "materialize", lambda df, tag, real=shingle_join.materialize: written.update([tag]) or real(df, tag))
+    got = shingle_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_components(made)
+    assert written["blocks"] == written["sets"] == (1 if one_pass else 4)  # a small table needs no four rounds of every step
+
+
 def test_count_tree(monkeypatch):
     monkeypatch.setattr(shingle_join, "BOX", 4)
     rng = np.random.default_rng(2)
