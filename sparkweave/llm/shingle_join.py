@@ -4,7 +4,7 @@
    costs one row for each task that meets it.
 2. Shingles are hashed into m groups.  Two sets that link differ in at most d shingles, so at least m - d groups are equal in both.
    With m > d + SPARE every class emits (group, contents) as block keys, and linked classes meet in a block.  m depends
-   on a size band; a class near a band's lower edge also emits the keys of the band below.
+   on a size band, and is larger where more than SPARE groups would often be empty; a class near a band's lower edge also emits the keys of the band below.
 3. Blocks of two or more classes are joined.  First each class with the block's smallest one; what that links needs no further pairs.
    Members that are still in different components are joined by an R-tree over their group counts (about as many coordinates as members; of two vectors the finer is folded to the coarser), which is
    loaded in the order of a block's components and set sizes: boxes of ``BOX`` points, leaves of ``LEAF`` points, and nodes of
@@ -91,6 +91,18 @@ class Bands:
         a = self.edges[band + 1] - 1
         return (a + a * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
+    def groups(self, band: int) -> int:
+        """Groups of a band's sets: so many that its smallest sets nearly all fill more groups than can differ, as an empty group is
+        a block of a share of all sets.  Where no such number is below twice the differences, the least that is exact."""
+        d, n = self.differences(band), self.edges[band]
+        m = d + 1 + SPARE
+        while m <= 2 * (d + SPARE):
+            empty = m * np.exp(-n / m)
+            if m - empty - 3 * np.sqrt(empty) > d:
+                return m
+            m += max(1, m // 32)
+        return d + 1 + SPARE
+
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Block keys of a set."""
         n = len(s)
@@ -102,7 +114,7 @@ class Bands:
             d = self.differences(band)
             if not d:
                 continue  # only equal sets can link: a class already
-            m = d + 1 + SPARE
+            m = self.groups(band)
             with np.errstate(over="ignore"):
                 spread = mix(s ^ _K[4])
                 group = ((spread >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -110,8 +122,8 @@ class Bands:
                 np.add.at(sums, group.astype(np.int64), mix(s ^ _K[5]))
                 keys = mix(mix(sums + np.uint64(band) * _K[3]) + np.arange(m, dtype=np.uint64))
             full = np.bincount(group.astype(np.int64), minlength=m) > 0
-            # SPARE empty groups cannot be all that two linked sets have in common; only with more do they count
-            out.append(keys[full] if m - full.sum() <= SPARE else keys)
+            # with more than d full groups one of them is equal in any linked set; only with fewer do empty groups count
+            out.append(keys[full] if full.sum() > d else keys)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 

@@ -356,6 +356,27 @@ def test_shingle_join_passes(spark, monkeypatch, one_pass):
     assert written["blocks"] == written["sets"] == (1 if one_pass else 4)  # a small table needs no four rounds of every step
 
 
+@pytest.mark.parametrize("n", [40, 370, 2000])
+def test_unlike_sets_share_no_block_of_empty_groups(n):
+    rng, bands = np.random.default_rng(n), shingle_join.Bands(80, 100)
+    keys = [bands.keys(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))) for _ in range(200)]
+    often = Counter(k for ks in keys for k in set(ks.tolist()))
+    assert sum(len(ks) for ks in keys) and sum(v for v in often.values() if v > 1) < 0.01 * sum(map(len, keys))
+
+
+@pytest.mark.parametrize(("num", "den"), [(70, 100), (80, 100), (90, 100)])
+def test_linked_sets_share_a_block(num, den):
+    rng, bands = np.random.default_rng(num), shingle_join.Bands(num, den)
+    for n in [*range(1, 40), *range(40, 1500, 37)]:
+        s = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        k = n * (den - num) // (den + num)  # so many members replaced
+        other = np.r_[s[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)]
+        for x, y in ((s, other), (s, s[: -(-n * num // den)])):
+            x, y = np.unique(x), np.unique(y)
+            if len(x) != len(y) or (x != y).any():
+                assert np.intersect1d(bands.keys(x), bands.keys(y)).size, (n, len(y))
+
+
 def test_count_tree(monkeypatch):
     monkeypatch.setattr(shingle_join, "BOX", 4)
     rng = np.random.default_rng(2)
