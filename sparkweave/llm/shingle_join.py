@@ -16,8 +16,9 @@
 4. Surviving pairs are verified on their whole sets, and links are closed to components.
 
 Whole sets are made again from the texts of their classes where they are compared: a text takes less than half the disk of its hashes.  What shuffles
-block keys, texts or whole sets goes over a large input in ``PASSES`` parts, so only a share of it is on disk at a time; up to ``ONE_PASS`` block keys
-(some 256 MB) one part is enough, as each part costs a round of tasks for every step.
+block keys, texts or count vectors goes in ``PASSES`` parts where its own rows are many, so only a share of them is on disk at a time; up to ``ONE_PASS`` block keys
+(some 256 MB), or a ``WIDE``-th of that in rows with a text or vector, one part is enough, as each part costs a round of tasks and the driver its plans.
+Of the sets only those that a step compares are shuffled.
 """
 
 from __future__ import annotations
@@ -39,14 +40,15 @@ from .graph import components
 SPARE = 4
 #: coordinates of a count vector: as many as a set has members, within these bounds (a power of two)
 GROUPS = 64, 4096
-#: block keys, texts and candidates of inputs with more than ``ONE_PASS`` block keys are shuffled in so many steps, each its share
-PASSES, ONE_PASS = 4, 1 << 24
+#: a step with more than ``ONE_PASS`` block keys to shuffle takes so many parts, each its share; a row with a text or a count vector counts as ``WIDE`` keys
+PASSES, ONE_PASS, WIDE = 4, 1 << 24, 64
 BOX, LEAF, FAN, LEVELS, MANY = 16, 512, 32, 3, 4
 _K = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _SIG = "doc_id long, n long, cls long"
 _SIG_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 _KEY = "key long, cls long"
 _KEY_ARROW = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
+_BLOCK = "key long, cls long, lo long"
 _SET_ARROW = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("text", pa.binary())])
 
 
@@ -167,6 +169,38 @@ def _keys(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(each, _KEY)
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, cls, lo), once each, of the rows of keys (key, cls) whose block has two or more classes; lo is the smallest of them.
+
+    One shuffle for all three; the rows of a block go by in batches, and only its last one is kept.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = lo = None  # of the row before
+        alone = True  # that row is the first of its block and not written yet
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, c = (batch.column(i).to_numpy() for i in (0, 1))
+            if key is not None:
+                k, c = np.r_[key, k], np.r_[last, c]
+            new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+            k, c = k[new], c[new]
+            first = np.r_[True, k[1:] != k[:-1]]
+            low = c[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+            if key is not None:
+                low[: np.searchsorted(k, key, "right")] = lo
+            out = ~first
+            out[:-1] |= ~first[1:]
+            out[0] &= alone
+            if len(k) > 1:
+                alone = bool(first[-1])
+            key, last, lo = k[-1], c[-1], low[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, c, low)], names=["key", "cls", "lo"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(each, _BLOCK)
+
+
 def _sets(chosen: DataFrame, words: int) -> DataFrame:
     """(cls, n, counts, text) of the rows of (cls, text) whose set is of that class: points of the R-tree, and lower-case texts from which ``whole_sets`` are made.
 
@@ -228,7 +262,7 @@ def _bound(x: bytes, y: bytes) -> int:
     return int(np.minimum(_folded(x, n), _folded(y, n)).sum(dtype=np.int64))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, words: int, num: int, den: int, passes: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) of classes, a written table, that link: the bound on group counts first, then the whole sets."""
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +295,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, words: int, num: int, den: int, p
         point = lambda x: need.select(F.col("cls").alias(x), F.col("counts").alias(f"c{x}"))
         return mine.join(point("a").where(part("a")), "a").join(point("b"), "b").mapInArrow(may, "a long, b long")
 
-    near = _in_passes(first, "near-pairs", passes)
+    near = _in_passes(first, "near-pairs", _parts(2 * WIDE * alike.count()))
 
     def step(part: Callable[[str], F.Column]) -> DataFrame:
         mine = near.where(part("b"))
@@ -269,7 +303,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, words: int, num: int, den: int, p
         whole = lambda x: need.select(F.col("cls").alias(x), F.col("text").alias(f"t{x}"))
         return mine.join(whole("a"), "a").join(whole("b").where(part("b")), "b").select("a", "b", "ta", "tb").mapInArrow(links, "a long, b long")
 
-    return _in_passes(step, "links-of-pairs", passes)
+    return _in_passes(step, "links-of-pairs", _parts(2 * WIDE * near.count()))
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """rows, a written table with cls, and columns of their sets; no other sets are shuffled."""
+    sets = sets.select("cls", *columns)
+    few = small(rows, 1 << 16)
+    if few is not rows:
+        return sets.join(few, "cls")
+    return rows.join(sets.join(small(materialize(rows.select("cls").distinct(), "needed")), "cls", "left_semi"), "cls")
+
+
+def _parts(keys: int) -> int:
+    """In how many parts a step shuffles what counts as so many block keys."""
+    return 1 if keys <= ONE_PASS else PASSES
 
 
 def _in_passes(step: Callable[[Callable[[str], F.Column]], DataFrame], tag: str, passes: int) -> DataFrame:
@@ -427,9 +475,9 @@ def _boxes(points: DataFrame) -> DataFrame:
     return points.groupBy("key", "leaf").applyInPandas(bounds, "key long, leaf long, lo long, hi long, r0 long, r1 long, box binary")
 
 
-def _between(leaves: DataFrame, sets: DataFrame, words: int, num: int, den: int, passes: int) -> DataFrame:
+def _between(leaves: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that span the components of two leaves of one block, for leaves (key, leaf, cls, root, n) of blocks of several leaves: the tree above the leaves, from its top down."""
-    levels = [_in_passes(lambda part: _boxes(leaves.where(part("leaf")).join(sets.select("cls", "counts"), "cls")), "boxes", passes)]
+    levels = [_in_passes(lambda part: _boxes(leaves.where(part("leaf")).join(sets.select("cls", "counts"), "cls")), "boxes", _parts(WIDE * leaves.count()))]
     for _ in range(LEVELS - 1):
         up = levels[-1].withColumn("leaf", F.expr(f"leaf div {FAN}"))
 
@@ -468,12 +516,16 @@ def _between(leaves: DataFrame, sets: DataFrame, words: int, num: int, den: int,
     def step(part: Callable[[str], F.Column]) -> DataFrame:
         mine = matched.where(part("leafx"))
         sides = [mine.join(leaves.withColumnRenamed("leaf", f"leaf{s}"), f"leaf{s}").select("leafx", "leafy", "cls", "n", "root", F.lit(s).alias("side")) for s in "xy"]
-        return sides[0].union(sides[1]).join(sets.select("cls", "counts", "text"), "cls").groupBy("leafx", "leafy").applyInPandas(search, "a long, b long")
+        met.append(materialize(sides[0].union(sides[1]), "leaf-pairs"))
+        return _with_sets(met[-1], sets, "counts", "text").groupBy("leafx", "leafy").applyInPandas(search, "a long, b long")
 
-    return _in_passes(step, "links-between", passes)
+    met: list[DataFrame] = []
+    out = _in_passes(step, "links-between", _parts(2 * LEAF * WIDE * matched.count()))
+    _drop(*met)
+    return out
 
 
-def _tree_pairs(members: DataFrame, sets: DataFrame, words: int, num: int, den: int, passes: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of members (key, cls, root) of one block and different components that the bound leaves.
 
     Blocks of one component have nothing to add, and of blocks with the same members one is enough.
@@ -482,15 +534,15 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, words: int, num: int, den:
     mixed = materialize(one.where("r0 < r1 and size > 2").groupBy("size", "x", "c0", "c1").agg(F.min("key").alias("key")).select("key"), "mixed")
     leaves = materialize(_leaves(members.join(mixed, "key").join(sets.select("cls", "n"), "cls").select("key", "cls", "root", "n")), "leaves")
     counts = sets.select("cls", "counts")
-    found = _in_passes(lambda part: _within(leaves.where(part("leaf")).join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den), "tree-pairs", passes)
+    found = _in_passes(lambda part: _within(leaves.where(part("leaf")).join(counts, "cls").select("leaf", "cls", "root", "n", "counts"), num, den), "tree-pairs", _parts(WIDE * leaves.count()))
     out = found.where("dense is null").select("a", "b")
-    points = sets.select("cls", "counts", "text")
     dense = materialize(found.where("dense is not null").select(F.col("dense").alias("leaf")), "dense-leaves")
     if not dense.isEmpty():
-        out = out.union(_in_passes(lambda part: _dense(leaves.where(part("leaf")).join(dense, "leaf").join(points, "cls"), words, num, den), "dense-links", passes))
+        mine = materialize(leaves.join(small(dense), "leaf"), "dense-members")
+        out = out.union(_in_passes(lambda part: _dense(_with_sets(mine.where(part("leaf")), sets, "counts", "text"), words, num, den), "dense-links", _parts(WIDE * mine.count())))
     several = materialize(leaves.groupBy("key").agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1")).where("l0 < l1").select("key"), "large-blocks")
     if not several.isEmpty():
-        out = out.union(_between(materialize(leaves.join(several, "key"), "large-blocks-leaves"), sets, words, num, den, passes))
+        out = out.union(_between(materialize(leaves.join(several, "key"), "large-blocks-leaves"), sets, words, num, den))
     return out.distinct()
 
 
@@ -510,26 +562,17 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     docs = doc_text(docs)
     sig = materialize(_signatures(docs, words), "signatures")
     keys = materialize(_keys(docs, words, num, den), "block-keys")
-    passes = 1 if keys.count() <= ONE_PASS else PASSES
-    # blocks of two or more classes, and their members
-    live: list[DataFrame] = []
-
-    def shared(part: Callable[[str], F.Column]) -> DataFrame:
-        mine = keys.where(part("key"))
-        live.append(materialize(mine.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key", "lo"), "live-blocks"))
-        return mine.join(live[-1], "key").distinct()
-
-    blocks = _in_passes(shared, "blocks", passes)
-    _drop(keys, *live)
+    blocks = _in_passes(lambda part: _shared(keys.where(part("key"))), "blocks", _parts(keys.count()))
+    _drop(keys)
     present = blocks.select("cls").distinct()
     chosen = materialize(sig.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(present, "cls", "left_semi"), "chosen")
     few = small(chosen)  # else all texts would be shuffled for them
-    sets = _in_passes(lambda part: _sets(docs.where(part("doc_id")).join(few.where(part("doc_id")), "doc_id").select("cls", "text"), words), "sets", passes)
+    sets = _in_passes(lambda part: _sets(docs.where(part("doc_id")).join(few.where(part("doc_id")), "doc_id").select("cls", "text"), words), "sets", _parts(WIDE * chosen.count()))
     pairs = materialize(blocks.where("lo < cls").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct(), "star-pairs")
-    star = _verify(pairs, sets, words, num, den, passes)
+    star = _verify(pairs, sets, words, num, den)
     roots = components(star)
     members = blocks.join(roots, blocks["cls"] == roots["v"], "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    rest = _verify(materialize(_tree_pairs(members, sets, words, num, den, passes), "tree-pairs"), sets, words, num, den, passes)
+    rest = _verify(materialize(_tree_pairs(members, sets, words, num, den), "tree-pairs"), sets, words, num, den)
     _drop(chosen, pairs, *blocks.parts, *sets.parts)
     final = components(star.union(rest))
     # written down, so that a large component's rows can be split where they are joined

@@ -356,6 +356,21 @@ def test_shingle_join_passes(spark, monkeypatch, one_pass):
     assert written["blocks"] == written["sets"] == (1 if one_pass else 4)  # a small table needs no four rounds of every step
 
 
+def test_shingle_join_takes_passes_only_where_rows_are_many(spark, monkeypatch):
+    rng, made, written = np.random.default_rng(7), [], Counter()
+    for i in range(60):
+        base = base if i % 2 or i % 20 > 9 else [f"w{k}" for k in rng.integers(0, 4000, 90)]
+        made.append((i, " ".join([*base, f"v{i}"])))
+    monkeypatch.setattr(shingle_join, "ONE_PASS", 500)
+    monkeypatch.setattr(shingle_join, "WIDE", 1, raising=False)
+    monkeypatch.setattr(shingle_join, "materialize", lambda df, tag, real=shingle_join.materialize: written.update([tag]) or real(df, tag))
+    got = shingle_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_components(made)
+    assert written["blocks"] == 4 and written["sets"] == 1  # some thousand keys, 60 sets
+    assert written["near-pairs"] == written["links-of-pairs"] == 2  # of the stars, and of the trees
+    assert not written["live-blocks"]  # keys are shuffled once
+
+
 @pytest.mark.parametrize("n", [40, 370, 2000])
 def test_unlike_sets_share_no_block_of_empty_groups(n):
     rng, bands = np.random.default_rng(n), shingle_join.Bands(80, 100)
@@ -377,6 +392,47 @@ def test_linked_sets_share_a_block(num, den):
                 assert np.intersect1d(bands.keys(x), bands.keys(y)).size, (n, len(y))
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 10000])
+def test_shared_blocks(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(int(k), int(c)) for k, c in zip(rng.integers(-60, 60, 400), rng.integers(-3, 3, 400), strict=True)] + [(99, c) for c in range(50)] + [(100, 7)] * 30
+    classes = {k: sorted({c for x, c in rows if x == k}) for k, _ in rows}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = shingle_join._shared(spark.createDataFrame(rows, "key long, cls long")).select("key", "cls", "lo").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, got)) == sorted((k, c, cs[0]) for k, cs in classes.items() if len(cs) > 1 for c in cs)
+
+
+def test_few_members_do_not_shuffle_all_sets(spark, monkeypatch):
+    plans = {}
+
+    def materialize(df, tag, real=shingle_join.materialize):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(df, tag)
+
+    for name, value in (("LEAF", 3), ("BOX", 2), ("FAN", 2), ("MANY", 1), ("materialize", materialize)):
+        monkeypatch.setattr(shingle_join, name, value)
+    rng = np.random.default_rng(1)
+    base = [f"w{k}" for k in range(150)]
+    made = []
+    for i in range(40):
+        w = list(base) + [f"z{k}" for k in range(i % 7)]
+        for k in rng.integers(0, 150, 4):
+            w[k] = f"v{i}{k}"
+        made.append((i, " ".join(w)))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the sets were many
+    try:
+        got = shingle_join.jaccard_components(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(map(tuple, got)) == brute_components(made)
+    assert not [p for p in plans["links-between"] if "SortMergeJoin" in p]
+
+
 def test_count_tree(monkeypatch):
     monkeypatch.setattr(shingle_join, "BOX", 4)
     rng = np.random.default_rng(2)
