@@ -10,15 +10,18 @@ Conventions of every operator in this package:
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +67,13 @@ def small(df: DataFrame, most: int = 1 << 18) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver holds.  They go to the JVM as they are; ``createDataFrame(rows)`` would start Python workers on the executors for it."""
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields))
+
+
 def unused(names: list[str], name: str) -> str:
     """A column name like ``name`` that is none of ``names``."""
     taken = {n.lower() for n in names}
@@ -89,6 +99,25 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """One object for each Python worker, made when it is first asked for.  Workers are used again by later stages; ``release`` drops it."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drop what earlier stages left in this Python worker and give the memory back, before another operator needs its own."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+
 def limit_threads() -> None:
     """Native libraries run inside a task that owns one core."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, rows_table, small
 
 RADIX, ROUNDS = 10, 3
 Path = tuple
@@ -118,9 +118,9 @@ def mix(docs: DataFrame, budget: float, weights: dict[Path, float] | None = None
     key = lambda epoch: F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, F.col("doc_id")), 1)
     cuts: dict[str, int] = {}
     if need:
-        wanted = spark.createDataFrame(need, "leaf string, whole int, want long")
+        wanted = rows_table(spark, need, "leaf string, whole int, want long")
         part = small_rows.join(small(wanted.select("leaf", "whole")), "leaf").select("leaf", key(F.col("whole")).alias("key"), F.col("n_tokens").alias("tokens"))
         cuts = _cuts(part, wanted.select("leaf", "want"))
-    chosen = spark.createDataFrame([(leaf, whole, cuts.get(leaf, -1)) for leaf, whole in plan], "leaf string, whole int, cut long")
+    chosen = rows_table(spark, [(leaf, whole, cuts.get(leaf, -1)) for leaf, whole in plan], "leaf string, whole int, cut long")
     taken = rows.join(small(chosen), "leaf").withColumn("times", F.col("whole") + (key(F.col("whole")) <= F.col("cut")).cast("int"))
     return taken.where("times > 0").select("row.*", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, rows_table
 
 #: hashes outnumber the distinct n-grams by this power of two at least
 SPARE = 30
@@ -157,7 +157,7 @@ def discounted(grams: DataFrame, shape: Shape) -> DataFrame:
     """grams (m, key, n), a written table, with ``own`` = max(n - D(n), 0) / n(context) and ``rest``, the context's weight of the lower order."""
     part = f"over (partition by m, shiftright(key, {shape.bits}))"
     d = "CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"
-    known = grams.sparkSession.createDataFrame([tuple(r) for r in _discounts(grams).collect()], "dm long, d1 double, d2 double, d3 double")
+    known = rows_table(grams.sparkSession, [tuple(r) for r in _discounts(grams).collect()], "dm long, d1 double, d2 double, d3 double")
     with_d = grams.join(F.broadcast(known), F.col("m") == F.col("dm")).selectExpr("m", "key", "n", f"{d} as d")
     return with_d.selectExpr("m", "key", "n", f"(n - d) / sum(n) {part} as own", f"sum(d) {part} / sum(n) {part} as rest")
 

@@ -16,7 +16,7 @@ from array import array
 
 from tokenizers import Tokenizer, models
 
-from .common import limit_threads
+from .common import kept, limit_threads
 
 #: ASCII white space and separators other than blank and line feed
 _RARE_ASCII = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -136,11 +136,6 @@ class TextEncoder:
         return self._first(pieces[0]) + b"".join(map(self.memo.__getitem__, pieces[1:]))
 
 
-_cached: dict[tuple[str, int], TextEncoder] = {}
-
-
 def encoder(path: str, memo: int = 400_000) -> TextEncoder:
     """One encoder for each Python worker and file."""
-    if (path, memo) not in _cached:
-        _cached[path, memo] = TextEncoder(path, memo)
-    return _cached[path, memo]
+    return kept((path, memo), lambda: TextEncoder(path, memo))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, rows_of, small, unused
+from .common import materialize, release, rows_of, small
 from .ngrams import Counter, HashArrays, Shape, lower
 
 SHAPE = Shape(order=6, bits=10)
@@ -34,6 +34,7 @@ _MODEL = 1  # both classes share the keys of one table
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], *names: str, chars: int = 1 << 20) -> Iterator[list[tuple]]:
+    release()
     held, size = [], 0
     for row in rows_of(batches, *names):
         held.append(row)
@@ -148,27 +149,26 @@ def score(docs: DataFrame, labels: DataFrame, use: str = "true", fold: str = "pm
         else:
             weights = np.array(calibrate(features(mine, ratios)))
     held = docs.sparkSession.sparkContext.broadcast((ratios, weights))
-    plain = docs.drop("score", "predicted")
-    names = plain.columns
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         model, w = held.value
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # slices of about a million characters
+        for low_texts in batches:
+            scores, at = [np.zeros(0)], 0
+            while at < len(low_texts):  # slices of about a million characters
                 texts, size = [], 0
-                low_texts = batch.column(len(names))
-                while at + len(texts) < batch.num_rows and (not texts or size < 1 << 20):
+                while at + len(texts) < len(low_texts) and (not texts or size < 1 << 20):
                     texts.append(low_texts[at + len(texts)].as_py())
                     size += len(texts[-1])
                 x = [np.clip(v, low_, high) for v, (low_, high, _) in zip(measure(texts, model), _GRID, strict=True)]
-                p = 1 / (1 + np.exp(-np.clip(np.column_stack([*_design(*x), np.ones(len(texts))]) @ w, -30, 30)))
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(names))], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+                scores.append(1 / (1 + np.exp(-np.clip(np.column_stack([*_design(*x), np.ones(len(texts))]) @ w, -30, 30))))
                 at += len(texts)
+            yield pa.array(np.concatenate(scores))
 
-    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return plain.select("*", _low().alias(unused(names, "low"))).mapInArrow(each, schema)
+    # only the lower-case text goes to Python and only the score comes back; once for each row, also where a filter follows
+    likely = F.arrow_udf(each, T.DoubleType()).asNondeterministic()
+    scored = docs.drop("score", "predicted").withColumn("score", likely(_low()))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, use: str = "true", threshold: float = 0.3) -> DataFrame:

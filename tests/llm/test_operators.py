@@ -13,8 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkweave.llm import fingerprint, langid, mixing, ngrams, packing, perplexity, pii, queries, repeats, shingle_join, token_store, toxicity
-from sparkweave.llm.tokenizing import TextEncoder
+from sparkweave.llm import common, fingerprint, langid, mixing, ngrams, packing, perplexity, pii, queries, repeats, shingle_join, token_store, toxicity
+from sparkweave.llm.tokenizing import TextEncoder, encoder
 
 DATA = "/root/testdata/sf0.001"
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -501,6 +501,31 @@ def test_toxicity(spark, docs, plain, empty):
     assert toxicity.score(docs, labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_sends_texts_to_python_once_and_none_back(spark, docs, plain):
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in plain], "doc_id long, toxic int")
+    scored = toxicity.score(docs, labels)
+    plan = scored.where("predicted = 0")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [") == 1
+    assert sorted(r.doc_id for r in scored.collect()) == [i for i, _ in plain]
+
+
+def test_workers_drop_the_encoder_when_toxicity_begins():
+    first = encoder(BYTE)
+    assert encoder(BYTE) is first
+    assert list(toxicity._chunks(iter(()), "toxic", "text")) == []
+    assert not common._kept and encoder(BYTE) is not first
+
+
+def test_small_tables_start_no_python_worker(spark):
+    grams = spark.createDataFrame([(0, 7, 1), (0, 8, 2), (0, 9, 3)], "m long, key long, n long").localCheckpoint()
+    plan = ngrams.discounted(grams, toxicity.SHAPE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "LocalRelation" in plan
+    rows = [("a", 1, None), (None, 2, 1.5)]
+    assert [tuple(r) for r in common.rows_table(spark, rows, "s string, n int, x double").collect()] == rows
+    none = common.rows_table(spark, [], "s string, n int, x double")
+    assert none.count() == 0 and none.dtypes == [("s", "string"), ("n", "int"), ("x", "double")]
+
+
 def test_pii(docs, plain, empty):
     tests = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
