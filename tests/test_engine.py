@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkweave import cli
 from sparkweave.engine import Engine
@@ -11,7 +12,7 @@ from sparkweave.functions import dictionary, statistics
 from sparkweave.plans import compiler
 from sparkweave.plans.algebra import Id
 from sparkweave.plans.parser import parse
-from sparkweave.sources import raw
+from sparkweave.sources import raw, store
 from sparkweave.sources.store import TRIPLES, Store
 from sparkweave.sources.turtle import RDF
 from sparkweave.sources.turtle import parse as turtle
@@ -101,6 +102,16 @@ def test_store_roundtrip(spark, engine, tmp_path):
     assert saved.counts() == {6: 3, 7: 5} == Store(spark, str(tmp_path / "v1")).predicate_counts()
 
 
+def test_store_partitions_follow_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 100, raising=False)
+    facts = spark.range(3000).selectExpr("id % 1500 as s", "6 + id % 2 as p", "id % 10 as o")
+    saved = Store.write(facts, str(tmp_path / "many"))
+    for order in ("by_s", "by_o"):
+        sizes = [r["count"] for r in saved.triples(order).groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == 1500
+        assert max(sizes) <= 200, sizes
+
+
 def test_scan_is_pruned(spark, engine, tmp_path):
     saved = engine.save(str(tmp_path / "v2"))
     plan = saved.query("select ?x where { ?x 6 50 . }")._jdf.queryExecution().executedPlan().toString()
