@@ -112,6 +112,26 @@ def test_store_partitions_follow_rows(spark, tmp_path, monkeypatch):
         assert max(sizes) <= 200, sizes
 
 
+def test_raw_facts_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 500, raising=False)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", None)
+    facts = spark.range(0, 5000, 1, 3).selectExpr("(id * 2654435761) % 4294967296 as s", "cast(id % 300 as int) as p", "4294967295 - id as o")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, 200)
+    try:
+        raw.write_binary(facts, str(tmp_path / "facts"))
+    finally:
+        spark.conf.unset(batch)
+    assert (tmp_path / "facts").stat().st_size == 60_000
+    assert rows(raw.read_binary(spark, str(tmp_path / "facts"))) == rows(facts)
+    raw.write_binary(facts.limit(0), str(tmp_path / "none"))
+    assert (tmp_path / "none").read_bytes() == b""
+    for bad in ("-1", "4294967296", "cast(null as bigint)"):
+        with pytest.raises(Exception, match="32 bits"):
+            raw.write_binary(spark.range(3).selectExpr(f"{bad} as s", "1 as p", "id as o"), str(tmp_path / "bad"))
+
+
 def test_scan_is_pruned(spark, engine, tmp_path):
     saved = engine.save(str(tmp_path / "v2"))
     plan = saved.query("select ?x where { ?x 6 50 . }")._jdf.queryExecution().executedPlan().toString()
