@@ -112,6 +112,11 @@ def test_store_partitions_follow_rows(spark, tmp_path, monkeypatch):
         assert max(sizes) <= 200, sizes
 
 
+def test_present_asks_for_its_ids_alone(spark, engine):
+    found = statistics.present(engine.triples, engine.by_o, (1, 50, 99))
+    assert rows(found) == Counter([(1,), (50,)])
+
+
 def test_raw_facts_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "ROWS", 500, raising=False)
     monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)
