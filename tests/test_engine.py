@@ -112,6 +112,20 @@ def test_store_partitions_follow_rows(spark, tmp_path, monkeypatch):
         assert max(sizes) <= 200, sizes
 
 
+def test_counts_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 100, raising=False)
+    facts = [(i, 6 + i % 2, 5 if i % 3 else i) for i in range(1, 2001)] + [(7, 8, i) for i in range(1, 301)]
+    triples = spark.createDataFrame(facts, TRIPLES)
+    for by in ("s", "o", "sp", "op", "so", "spo"):
+        found = statistics.counts(triples, *by)
+        assert rows(found) == Counter({(*k, n): 1 for k, n in Counter(tuple(f["spo".index(c)] for c in by) for f in facts).items()})
+        assert found.rdd.getNumPartitions() == 23, by
+    found = statistics.entities(triples)
+    assert rows(found) == Counter({x for s, _, o in facts for x in ((s,), (o,))})
+    assert found.rdd.getNumPartitions() == 46
+    assert rows(statistics.counts(triples)) == Counter([(2300,)])
+
+
 def test_present_asks_for_its_ids_alone(spark, engine):
     found = statistics.present(engine.triples, engine.by_o, (1, 50, 99))
     assert rows(found) == Counter([(1,), (50,)])
